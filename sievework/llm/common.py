@@ -108,20 +108,25 @@ class Bits:
         self.words, self.bits = words, bits
 
     @classmethod
-    def of(cls, keys: DataFrame, column: str, count: int, most_bits: int = 1 << 25) -> Bits:
+    def of(cls, keys: DataFrame, column: str, count: int, most_bits: int = 1 << 25, plain: bool = False) -> Bits:
+        """plain: the keys are hashes themselves, and one bit a key is enough."""
         bits = min(most_bits, 1 << max(13, (12 * count).bit_length()))
-        places = F.explode(F.array(*[F.pmod(F.xxhash64(F.lit(s), F.col(column)), F.lit(bits)) for s in cls.SALTS])).alias("p")
+        spots = [F.pmod(F.col(column), F.lit(bits))] if plain else [F.pmod(F.xxhash64(F.lit(s), F.col(column)), F.lit(bits)) for s in cls.SALTS]
+        places = F.explode(F.array(*spots)).alias("p")
         found = (
             keys.where(F.col(column).isNotNull())
             .select(places)
             .groupBy(F.floor(F.col("p") / 32).cast("int").alias("w"))
-            .agg(F.bit_or(F.shiftleft(F.lit(1).cast("long"), F.pmod(F.col("p"), F.lit(32)).cast("int"))).alias("m"))
+            .agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("m"))
             .toArrow()
         )
         words = np.zeros(bits // 32, np.int64)
         words[found["w"].to_numpy()] = found["m"].to_numpy()
         return cls(words.astype(np.uint32), bits)
 
+    def has_plain(self, hashes: np.ndarray) -> np.ndarray:
+        return self.has([np.mod(hashes, self.bits)])
+
     def places(self, column: str) -> list:
         """Expressions of a key's bits, for the frame that is asked about."""
         return [F.pmod(F.xxhash64(F.lit(s), F.col(column)), F.lit(self.bits)) for s in self.SALTS]

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokens, urls
+from . import exact, mixing, packing, tokens, urls
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -25,9 +25,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.ORACLE_SQL}
+    return {"op2_url_filters": urls.ORACLE_SQL, "op4_exact_dedup": exact.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
