@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, mixing, packing, tokens, urls
+from . import chat, exact, fingerprints, mixing, packing, tokens, urls
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -29,13 +29,21 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(read(spark, sf_dir, "documents"), keep="largest")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.preference_rows(read(spark, sf_dir, "conversations"))
+
+
+def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op8_mixing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_fingerprints, op8_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filters": urls.ORACLE_SQL, "op4_exact_dedup": exact.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
+    return {"op2_url_filters": urls.ORACLE_SQL, "op4_exact_dedup": exact.ORACLE_SQL, "op5_chat_formatting": chat.ORACLE_SQL, "op8_mixing": mixing.ORACLE_SQL}
