@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, fingerprints, mixing, packing, tokens, toxicity, urls
+from . import chat, exact, fingerprints, mixing, near, packing, tokens, toxicity, urls
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -37,6 +37,10 @@ def op6_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.near_components(read(spark, sf_dir, "documents"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
@@ -46,7 +50,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_fingerprints, op8_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_fingerprints, op7_near_dedup, op8_mixing, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
