@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact, fingerprints, mixing, near, packing, tokens, toxicity, urls
+from . import chat, exact, fingerprints, mixing, near, packing, substrings, tokens, toxicity, urls
 from .common import read
 
 TOKENIZERS = "/opt/tokenizers"
@@ -45,12 +45,16 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(read(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_fingerprints, op7_near_dedup, op8_mixing, op10_toxicity)}
+    return {f.__name__: f for f in (op1_token_counts, op2_url_filters, op3_packing, op4_exact_dedup, op5_chat_formatting, op6_fingerprints, op7_near_dedup, op8_mixing, op9_substring_dedup, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
