@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +39,43 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet in the shared checkpoint folder, read again; for frames with whole texts."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
+    path = f"{sc.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (a long; null stays) isn't among those of ``gone``.
+
+    A filter over the keys, of bounded size, lets most rows pass without a shuffle; the others are held
+    against the keys themselves.
+    """
+    gone = cut(gone.select(F.col(key).alias("_gone")).distinct())
+    count = gone.count()
+    if not count:
+        return df
+    shared = df.sparkSession.sparkContext.broadcast(Bits.of(gone, "_gone", count))
+    columns = df.columns
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            known = rows.column(key).is_valid().to_numpy(zero_copy_only=False)
+            may = shared.value.has([rows.column(c).to_numpy() for c in ("_p0", "_p1")]) & known
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(may)], [*columns, "_may"])
+
+    from pyspark.sql.types import BooleanType, StructType
+
+    asked = df.withColumns({f"_p{i}": p for i, p in enumerate(shared.value.places(key))})
+    marked = asked.mapInArrow(mark, StructType([*df.schema.fields]).add("_may", BooleanType()))
+    unsure = marked.where("_may").drop("_may").join(gone, F.col(key) == F.col("_gone"), "left_anti")
+    return marked.where("NOT _may").drop("_may").unionByName(unsure)
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

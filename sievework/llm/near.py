@@ -8,10 +8,11 @@ sizes alone rule a link out, and pairs with enough of them become candidates. Ca
 their full sets.
 
 Equal sets are one class from the start. In a long posting list, documents are at first compared only with
-leaders (documents that agreed with no leader before them), so that a large group of near copies gives as
-many pairs as it has documents. Once these are confirmed and joined into components, the long lists are
-read again, and all candidates whose documents aren't joined yet are confirmed too: no link that could
-join two components is lost. Components are found by alternating large and small stars.
+leaders (documents that agreed with no leader before them, those in the middle of the list first), so that
+a large group of near copies gives about as many pairs as it has documents. Once these are confirmed and
+joined into components, documents of long lists that still collide with another component are settled by
+an exact prefix join on their full sets, again for pairs of different components only: no link that
+could join two components is lost, and the pairs within a component are never listed. Components are found by alternating large and small stars.
 
 Defined results: words are lower-cased in A-Z only; a text with fewer words than a shingle is one shingle;
 null and empty texts have an empty set and are linked with nothing; rows with equal sets are linked;
@@ -28,10 +29,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, Bits, cut, hash_words, mix, pair_hash, slices, split_words
+from .common import GOLD, Bits, cut, hash_words, mix, pair_hash, slices, split_words, without_keys
 
 SHINGLE, SHARE = 3, 85
 #: At similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of about 2e-9.
@@ -89,6 +90,20 @@ def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, sig binary, post array<bigint>")
 
 
+def postings(nodes: DataFrame, live: Bits) -> DataFrame:
+    """token, cid, n, sig: a row for each posted value that may be among the live ones."""
+    shared = nodes.sparkSession.sparkContext.broadcast(live)
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            token = rows.column("post").flatten().to_numpy()
+            kept = np.flatnonzero(shared.value.has_plain(token))
+            of = pa.array(kept // PREFIX)
+            yield pa.RecordBatch.from_arrays([pa.array(token[kept]), *(rows.column(c).take(of) for c in ("cid", "n", "sig"))], ["token", "cid", "n", "sig"])
+
+    return nodes.mapInArrow(post, "token long, cid long, n long, sig binary")
+
+
 def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     """The rows of each token that has several, from rows sorted by token."""
     held: list[pa.RecordBatch] = []
@@ -121,11 +136,6 @@ def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
         yield from groups(pa.Table.from_batches(held))
 
 
-def _first_fit(n: np.ndarray, size: int, share: int) -> int:
-    """The first of ascending sizes that can be linked with a set of ``size`` or more."""
-    return int(np.searchsorted(n, -(-size * share // 100), side="left"))
-
-
 def _pairs(a: list[np.ndarray], b: list[np.ndarray], token: list[int]) -> pa.RecordBatch:
     x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
     nulls = pa.nulls(len(token), pa.int64())
@@ -133,6 +143,16 @@ def _pairs(a: list[np.ndarray], b: list[np.ndarray], token: list[int]) -> pa.Rec
     return pa.RecordBatch.from_arrays(columns, ["a", "b", "long_list"])
 
 
+def _toward_mode(sig: np.ndarray) -> np.ndarray:
+    """Rows in the order of their agreement with the most frequent value of each coordinate, so that a group's middle comes first."""
+    mode = np.array([np.bincount(c).argmax() for c in sig.T], np.uint8)
+    return np.argsort(-(sig == mode).sum(1), kind="stable")
+
+
+def _near_in_size(n: np.ndarray, size: int, share: int) -> np.ndarray:
+    return (100 * np.minimum(n, size)) >= share * np.maximum(n, size)
+
+
 def candidates(share: int):  # noqa: ANN201
     """Pairs of short lists, pairs with leaders of long ones, and the tokens of the latter."""
 
@@ -150,9 +170,9 @@ def candidates(share: int):  # noqa: ANN201
                 tokens.append(int(rows["token"][0]))
                 heads, m = np.zeros(len(cid), np.int64), 0
                 signs, sizes = np.empty_like(sig), np.empty_like(n)
-                for k in range(len(cid)):
-                    at = _first_fit(sizes[:m], int(n[k]), share)
-                    hit = at + np.flatnonzero((signs[at:m] == sig[k]).sum(1) >= MATCHES)
+                for k in _toward_mode(sig).tolist():
+                    fit = np.flatnonzero(_near_in_size(sizes[:m], int(n[k]), share))
+                    hit = fit[(signs[fit] == sig[k]).sum(1) >= MATCHES]
                     if len(hit):
                         a.append(np.full(len(hit), cid[k]))
                         b.append(cid[heads[hit]])
@@ -160,9 +180,6 @@ def candidates(share: int):  # noqa: ANN201
                     else:
                         heads[m], signs[m], sizes[m] = k, sig[k], n[k]
                         m += 1
-                    if held > 50_000:
-                        yield _pairs(a, b, tokens)
-                        a, b, tokens, held = [], [], [], 0
             if held > 50_000:
                 yield _pairs(a, b, tokens)
                 a, b, tokens, held = [], [], [], 0
@@ -171,19 +188,42 @@ def candidates(share: int):  # noqa: ANN201
     return find
 
 
-def crossing(share: int):  # noqa: ANN201
-    """All candidates of long lists that lie in different components, each under the first token that both have."""
+def unsettled(share: int):  # noqa: ANN201
+    """The documents of long lists that collide often enough with one of another component."""
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in posting_lists(batches):
-            cid, n, sig, comp, post = rows["cid"], rows["n"], rows["sig"], rows["comp"], rows["post"]
-            a, b, token = [], [], rows["token"][0]
-            for k in range(1, len(cid)):
-                at = _first_fit(n[:k], int(n[k]), share)
-                others = at + np.flatnonzero(comp[at:k] != comp[k])
+            cid, n, sig, comp = rows["cid"], rows["n"], rows["sig"], rows["comp"]
+            names, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+            meets = np.zeros(len(cid), bool)
+            for k in np.flatnonzero(of != sizes.argmax()).tolist():  # the largest component's rows are met from the others' side
+                others = np.flatnonzero((of != of[k]) & _near_in_size(n, int(n[k]), share))
                 hit = others[(sig[others] == sig[k]).sum(1) >= MATCHES]
-                hit = [h for h in hit.tolist() if (post[h])[np.flatnonzero(post[h] == post[k])[0]] == token]
-                if hit:
+                meets[hit] = True
+                meets[k] |= len(hit) > 0
+            if meets.any():
+                yield pa.RecordBatch.from_arrays([pa.array(cid[meets]), pa.array(comp[meets])], ["cid", "comp"])
+
+    return find
+
+
+def least_overlap(x: np.ndarray | int, y: int, share: int) -> np.ndarray:
+    """The intersection that sets of these sizes need to be linked."""
+    return -(-(x + y) * share // (100 + share))
+
+
+def prefixed(share: int):  # noqa: ANN201
+    """Pairs of different components that share a shingle of their prefixes and can still have the overlap that a link needs."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in posting_lists(batches):
+            cid, n, comp, left = rows["cid"], rows["n"], rows["comp"], rows["n"] - rows["pos"] + 1
+            names, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
+            a, b = [], []
+            for k in np.flatnonzero(of != sizes.argmax()).tolist():
+                may = (of != of[k]) & ((of == sizes.argmax()) | (np.arange(len(cid)) < k)) & (np.minimum(left, left[k]) >= least_overlap(n, int(n[k]), share))
+                hit = np.flatnonzero(may)
+                if len(hit):
                     a.append(np.full(len(hit), cid[k]))
                     b.append(cid[hit])
             if a:
@@ -192,10 +232,25 @@ def crossing(share: int):  # noqa: ANN201
     return find
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sets are built again for the documents in pairs only."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    ids = cut(ids)
+def remaining_pairs(open_: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
+    """Pairs (a, b) of documents of different components that may be linked, by an exact prefix join on full sets.
+
+    open_: cid and comp of the documents that aren't settled. Shingles are ordered by how many of these
+    documents have them. Sets that are linked share one of each other's first shingles, and what follows
+    it in either set must be long enough for the overlap; so copies that differ in many rare shingles
+    meet nobody.
+    """
+    sets = full_sets(open_.select(F.col("cid").alias("k")), docs, size).join(open_, "cid")
+    each = sets.select("cid", "comp", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
+    many = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    ordered = each.join(many, "token").withColumn("pos", F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")).cast("long"))
+    first = ordered.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1) & (F.col("df") > 1)).withColumn("sig", F.lit(bytes(K)))
+    found = first.select("token", "cid", "comp", "n", "pos", "sig").repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(prefixed(share), "a long, b long, long_list long")
+    return found.where("a != b").select("a", "b").distinct()
+
+
+def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """cid and s, the set, of the documents among ``ids`` (k); built again from their texts."""
     filter_ = Bits.of(ids, "k", ids.count())
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -209,7 +264,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, share: int, size: int) -> DataF
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["cid", "s"])
 
     asked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[p.alias(f"p{i}") for i, p in enumerate(filter_.places("doc_id"))])
-    sets = cut(asked.mapInArrow(build, "cid long, s array<bigint>").join(ids, F.col("cid") == F.col("k"), "left_semi"))
+    return cut(asked.mapInArrow(build, "cid long, s array<bigint>").join(ids, F.col("cid") == F.col("k"), "left_semi"))
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough."""
+    sets = full_sets(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()), docs, size)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     rows = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))
@@ -246,23 +306,34 @@ def near_components(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) ->
     classes = cut(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("post").alias("post")))
     # sets of fewer shingles are linked with equal ones only
     nodes = classes.where(F.col("cid").isNotNull() & (F.col("n") * (100 - share) >= share)).select("cid", "n", "sig", "post")
-    posted = nodes.select("cid", "n", "sig", F.explode("post").alias("token"))
+    tokens = nodes.select(F.explode("post").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
+    tokens = cut(tokens)
+    posted = postings(nodes, Bits.of(tokens, "token", tokens.count(), most_bits=1 << 27, plain=True))
     found = cut(posted.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(candidates(share), "a long, b long, long_list long"))
     pairs = found.where("a IS NOT NULL AND a != b").select("a", "b").distinct()
     links = confirmed(pairs, docs, share, size)
-    long_lists = found.where("long_list IS NOT NULL").select(F.col("long_list").alias("token")).distinct()
+    long_lists = cut(found.where("long_list IS NOT NULL").select(F.col("long_list").alias("token")).distinct())
     if not long_lists.isEmpty():
         joined = components(links)
-        again = nodes.join(joined, F.col("cid") == F.col("node"), "left").select("cid", "n", "sig", "post", F.coalesce("comp", "cid").alias("comp"))
-        again = again.withColumn("token", F.explode("post")).join(long_lists, "token", "left_semi")
+        again = postings(nodes, Bits.of(long_lists, "token", long_lists.count(), plain=True)).join(long_lists, "token", "left_semi")
+        again = cut(again.join(joined, F.col("cid") == F.col("node"), "left").select("cid", "n", "sig", "token", F.coalesce("comp", "cid").alias("comp")))
         mixed = again.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
         again = again.join(mixed, "token", "left_semi")
-        more = again.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(crossing(share), "a long, b long, long_list long")
-        more = cut(more.where("a != b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti"))
-        if not more.isEmpty():
+        open_ = cut(again.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(unsettled(share), "cid long, comp long").distinct())
+        if not open_.isEmpty():
+            more = cut(remaining_pairs(open_, docs, share, size).join(pairs, ["a", "b"], "left_anti"))
             links = links.unionByName(confirmed(more, docs, share, size))
     joined = components(links)
     named = classes.select("k1", "k2", "cid").join(joined, F.col("cid") == F.col("node"), "left").select("k1", "k2", F.coalesce("comp", "cid").alias("comp"))
     out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others), one document of each component, with all their columns.
+
+    An identifier stays if any row with it is kept; rows without an identifier stay.
+    """
+    found = cut(near_components(docs, share, size).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select("doc_id"))
+    return without_keys(docs.withColumn("_id", F.col("doc_id").cast("long")), found.withColumnRenamed("doc_id", "_id"), "_id").drop("_id")
