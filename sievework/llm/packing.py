@@ -13,6 +13,7 @@ identifiers are packed like others; an empty table gives no pieces; other column
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -24,26 +25,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, cut, encoded, slices
+from .common import cut, encoded, slices
 
 CAPACITY, END_ID = 4096, 2
-#: Distinct words whose ids a worker keeps.
-KEPT_WORDS = 300_000
+#: Distinct stems whose ids a worker keeps.
+KEPT_WORDS = 1_000_000
+#: Text bytes that are read in one step.
+STEP_BYTES = 10 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
 class Ids:
     """Token ids of texts, by the ids of their white-space-parted chunks, which are independent of each other.
 
-    The tokenizer turns white space into word limits before anything else, so a text's ids are those of
-    its chunks, joined. Texts that may hold a special token's string go to the tokenizer whole.
+    The tokenizer lower-cases, turns white space into word limits and parts letters and digits from signs
+    before anything else. So a text's ids are those of its chunks, joined, and a chunk's ids are those of
+    its stem and of the full stops and commas after it. Stems' ids are kept. Texts that may hold a
+    special token's string go to the tokenizer whole.
     """
 
     def __init__(self, definition: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.special = sorted({t.content for t in self.tokenizer.get_added_tokens_decoder().values()})
+        self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self._clear()
 
     def _clear(self) -> None:
@@ -51,10 +56,13 @@ class Ids:
         self.flat, self.starts, self.sizes = [], [], []
         self.end = 0
 
-    def _slots(self, names: list[str]) -> np.ndarray:
+    def _slots(self, names: pa.Array) -> np.ndarray:
+        """Places of the names' ids."""
         if len(self.known) + len(names) > KEPT_WORDS:
             self._clear()
-        new = [w for w in names if w not in self.known]
+        names = names.to_pylist()
+        slots = list(map(self.known.get, names))
+        new = [w for w, x in zip(names, slots, strict=True) if x is None]
         for at in range(0, len(new), 10_000):
             some = new[at : at + 10_000]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
@@ -67,26 +75,43 @@ class Ids:
         for k in ("flat", "starts", "sizes"):
             if len(x := getattr(self, k)) > 1:
                 setattr(self, k, [np.concatenate(x)])
-        return np.fromiter((self.known[w] for w in names), np.int64, len(names))
+        out = np.array([-1 if x is None else x for x in slots], np.int64) if new else np.array(slots, np.int64)
+        out[out < 0] = np.arange(len(self.known) - len(new), len(self.known))
+        return out
+
+    def _chunks(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the ids of each chunk's two parts; the second is that of the empty string for most."""
+        stems = pc.utf8_rtrim(names, ".,")
+        stems = pc.if_else(pc.match_substring_regex(stems, r"[\pL\pN]$"), stems, names)
+        n = pc.utf8_length(stems).to_numpy(zero_copy_only=False)
+        ended = np.flatnonzero(pc.utf8_length(names).to_numpy(zero_copy_only=False) > n)
+        kinds = {"": 0}
+        ends = np.zeros(len(names), np.int64)
+        ends[ended] = [kinds.setdefault(x[k:], len(kinds)) for x, k in zip(names.take(pa.array(ended)).to_pylist(), n[ended].tolist(), strict=True)]
+        codes, parts = encoded(pa.concat_arrays([pa.array(list(kinds), stems.type), stems]))
+        slots = self._slots(parts)[codes]
+        return slots[len(kinds) :], slots[ends]
 
     def of(self, text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, document after document, and the number of ids of each."""
         text = pc.fill_null(text, "")
-        lists = pc.ascii_split_whitespace(text)
+        low = pc.ascii_lower(text)
+        lists = pc.ascii_split_whitespace(low)
         words = lists.flatten()
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         codes, names = encoded(words)
         if not len(names):
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
-        slots = self._slots(names.to_pylist())[codes]
+        stems, ends = self._chunks(names)
+        slots = np.stack([stems[codes], ends[codes]], 1).ravel()
         sizes, firsts = self.sizes[0][slots], self.starts[0][slots]
-        ends = np.cumsum(sizes)
-        ids = self.flat[0][np.repeat(firsts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stops = np.concatenate([[0], ends])[np.cumsum(n_words)]
+        upto = np.cumsum(sizes)
+        ids = self.flat[0][np.repeat(firsts - upto + sizes, sizes) + np.arange(upto[-1])]
+        stops = np.concatenate([[0], upto])[2 * np.cumsum(n_words)]
         counts = np.diff(stops, prepend=0)
         whole = np.zeros(len(text), bool)
         for s in self.special:
-            whole |= pc.match_substring(text, s).to_numpy(zero_copy_only=False)
+            whole |= pc.match_substring(low, s).to_numpy(zero_copy_only=False)
         if whole.any():
             parts = np.split(ids, stops[:-1])
             for k in np.flatnonzero(whole).tolist():
@@ -95,6 +120,18 @@ class Ids:
         return ids, counts
 
 
+#: A worker process keeps one, whatever task it runs.
+_MAKERS: dict[str, Ids] = {}
+
+
+def maker_of(definition: str) -> Ids:
+    key = hashlib.sha256(definition.encode()).hexdigest()
+    if key not in _MAKERS:
+        _MAKERS.clear()
+        _MAKERS[key] = Ids(definition)
+    return _MAKERS[key]
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """(times, [(length, count), ...]) of each pattern; together they use up ``counts`` exactly.
 
@@ -166,8 +203,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen, part = Ids(shared.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for rows in slices(batches, most=SLICE_BYTES):
+        maker, seen, part = maker_of(shared.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for rows in slices(batches, most=STEP_BYTES):
             ids, counts = maker.of(rows.column("text"))
             ends = np.cumsum(counts)
             full = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")
