@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, cut, slices
+from .common import Bits, cut, slices, without_keys
 
 MEMTABLE, FANOUT = 8192, 4
 #: Stands for a null identifier: after all others.
@@ -183,6 +183,26 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[byte
     return out.join(wrong, "digest", "left_anti").select(*held).unionByName(parted.join(fixed, "text_sha256").select(*held))
 
 
+def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others), one of each group of equal texts, with all their columns.
+
+    Rows are told apart by identifier and digest; of repeated rows the smallest by its columns stays.
+    """
+    found = cut(exact_groups(docs, keep).where("group_size > 1").select("doc_id", "text_sha256", "kept"))
+    pair = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_sha256").alias("_pair")
+    many = found.groupBy(pair).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
+    many = cut(many)
+    text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.sha2(text, 256))
+    rows = docs.withColumn("_pair", own)
+    single = without_keys(rows, many, "_pair").drop("_pair")
+    repeated = cut(many.where("stays").select("_pair"))
+    if repeated.isEmpty():
+        return single
+    one = rows.join(repeated, "_pair", "left_semi").groupBy("_pair").agg(F.min(F.struct(*docs.columns)).alias("r"))
+    return single.unionByName(one.select("r.*"))
+
+
 def _collisions(docs: DataFrame, hits: DataFrame, normal: Callable, digest: Callable) -> DataFrame | None:
     """Digests whose hits differ byte for byte, or None if, as ever with SHA-256, there are none."""
     found = hits.mapInArrow(_split_digest, "h1 long, h2 long")

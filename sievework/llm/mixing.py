@@ -53,12 +53,21 @@ def _ahead(queue: DataFrame, digits: int) -> tuple[DataFrame, DataFrame]:
     return ranged, sums.withColumn("base", F.coalesce(F.sum("in_range").over(before), F.lit(0))).drop("in_range")
 
 
+def _key() -> Column:
+    """Documents are queued in the order of it."""
+    return F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+
+
+def _size() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD + "+")), F.lit(0)).cast("long")
+
+
 def queued(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> DataFrame:
     """doc_id, no_source, name, key, size, source_size, target and ``upto``: the words of the source up to and with the row."""
     queue = cut(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.col("source").isNull().alias("no_source"), F.coalesce("source", F.lit("")).alias("name"),
-            F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"), F.coalesce(F.regexp_count("text", F.lit(WORD + "+")), F.lit(0)).cast("long").alias("size"),
+            _key().alias("key"), _size().alias("size"),
         )
     )
     digits = 1
@@ -123,6 +132,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_T
     )
 
 
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> DataFrame:
+    """The rows of ``docs`` (doc_id, source, text and any others) as often as the mix takes them, with all their columns.
+
+    What a source's queue gives in each pass ends at one place of it, so one row a source tells all, and
+    texts aren't shuffled.
+    """
+    rows = queued(docs, weights, times)
+    last = last_taken(rows, times)
+    place = F.struct("key", "doc_id", "size")
+    ends = [F.max(F.when(_times(last, t + 1) > t, place)).alias(f"_end{t}") for t in range(times)]
+    ends = rows.groupBy(F.col("no_source").alias("_no_source"), F.col("name").alias("_name")).agg(*ends)
+    own = F.struct(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size"))
+    taken = sum((F.when((own["size"] > 0) & (own <= F.col(f"_end{t}")), 1).otherwise(0) for t in range(times)), F.lit(0))
+    both = docs.join(ends, (F.col("source").isNull() == F.col("_no_source")) & (F.coalesce("source", F.lit("")) == F.col("_name")))
+    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), taken))).select(*docs.columns)
+
+
 ORACLE_SQL = r"""
 WITH d AS (SELECT doc_id, source, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS k, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, ([5.0, 2.0, 1.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1]::DOUBLE AS w FROM d GROUP BY source),
