@@ -43,11 +43,12 @@ def scan(files: DataFrame, rules: tuple[TextRule, ...] = TEXT_RULES) -> DataFram
     """One finding for each line and rule that fit, from files (file_path, text).
 
     Rules are constants of one projection, so a file's lines are tested in one narrow pass, without a
-    join; files in which no rule can fit don't unfold their lines.
+    join; files in which no rule can fit don't unfold their lines. Patterns see one line at a time, so ``^`` and
+    ``$`` are a line's ends; ``\\A`` and ``\\z`` aren't for them.
     """
     any_rule = F.lit(False)
     for r in rules:
-        any_rule = any_rule | F.col("text").rlike(r.pattern)
+        any_rule = any_rule | F.col("text").rlike("(?m)" + r.pattern)
     rows = files.where(any_rule).select("file_path", F.posexplode(text.lines(F.col("text"))).alias("at", "line"))
     found = [
         F.when(F.col("line").rlike(r.pattern), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.severity).alias("severity"), F.lit(r.confidence).alias("confidence"), F.lit(r.category).alias("category"), F.lit(r.cwe_id).cast("string").alias("cwe_id"), F.instr("line", F.regexp_extract("line", r.pattern, 0)).alias("start_col")))

@@ -12,12 +12,12 @@ THRESHOLD_KEYS = (*ranks.SEVERITIES, TOTAL)
 
 
 def merge_thresholds(thresholds: DataFrame) -> DataFrame:
-    """(level, category, severity, threshold) of merged policies: for each field the most specific policy that sets it.
+    """(level, category, severity, threshold) of merged policies: for each field the most specific policy that sets it; of equally specific ones the strictest.
 
     thresholds: policy (its level's name), level (fail or warn), category (null: all), severity, threshold.
     """
     specific = ranks.rank(F.col("policy"), ranks.POLICY_LEVELS)
-    return thresholds.where("threshold IS NOT NULL").groupBy("level", "category", "severity").agg(F.max_by("threshold", specific).alias("threshold"))
+    return thresholds.where("threshold IS NOT NULL").groupBy("level", "category", "severity").agg(F.max_by("threshold", F.struct(specific, -F.col("threshold"))).alias("threshold"))
 
 
 def merge_suppressions(suppressions: DataFrame) -> DataFrame:
