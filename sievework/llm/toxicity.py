@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import encoded, slices, split_words
 
-TOXIC, CLEAN, SAMPLE_BYTES = 1500, 5000, 24 << 20
+TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 16 << 20
 LANDMARKS, ROUNDS = 160, 4
 SPAN, DECAY = 6, 0.6
 THRESHOLD = 0.7
@@ -46,6 +46,8 @@ EXPLAINED = 0.995
 SYMBOLS = 48
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 RUN = 4
+#: Documents whose letter runs are counted in one step.
+STEP = 300
 LOWEST, SHARP = -3.0, 10.0
 
 
@@ -87,7 +89,10 @@ def raw(units: pa.Array, table: np.ndarray) -> np.ndarray:
         if table.ndim == 1:
             out += weight * np.bincount(of, table[index], len(units))
         else:
-            np.add.at(out, of, weight * table[index])
+            for at in range(0, len(of), 20_000):
+                some = of[at : at + 20_000]  # ascending
+                new = np.flatnonzero(np.diff(some, prepend=-1))
+                out[some[new]] += weight * np.add.reduceat(table[index[at : at + 20_000]], new)
         norm += weight * weight * np.bincount(of, minlength=len(units))
     return out / np.sqrt(np.maximum(norm, 1e-12)).reshape(-1, *[1] * (table.ndim - 1))
 
@@ -154,12 +159,14 @@ def _suspicious(names: pa.Array, codes: np.ndarray, rows: np.ndarray, toxic: np.
     by_unit = of[at]  # ascending
     n_runs = np.bincount(by_unit, minlength=len(names))
     first = np.cumsum(n_runs) - n_runs
-    n = n_runs[unit]
-    spots = np.repeat(first[unit] - np.cumsum(n) + n, n) + np.arange(n.sum())
-    pairs = np.unique(np.repeat(doc, n) * len(kinds) + run[spots])
-    with_run = toxic[pairs // len(kinds)]
-    pos = np.bincount((pairs % len(kinds))[with_run], minlength=len(kinds)) + 0.5
-    neg = np.bincount((pairs % len(kinds))[~with_run], minlength=len(kinds)) + 0.5
+    pos, neg = np.full(len(kinds), 0.5), np.full(len(kinds), 0.5)
+    for some in np.split(np.arange(len(held)), np.searchsorted(doc, np.arange(STEP, doc[-1] + 1, STEP))):
+        n = n_runs[unit[some]]
+        spots = np.repeat(first[unit[some]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        pairs = np.unique(np.repeat(doc[some], n) * len(kinds) + run[spots])
+        with_run = toxic[pairs // len(kinds)]
+        pos += np.bincount((pairs % len(kinds))[with_run], minlength=len(kinds))
+        neg += np.bincount((pairs % len(kinds))[~with_run], minlength=len(kinds))
     odds = np.log(pos / (toxic.sum() + 1)) - np.log(neg / ((~toxic).sum() + 1)) - 1.5 * np.sqrt(1 / pos + 1 / neg)
     best = np.full(len(names), -9.0)
     np.maximum.at(best, by_unit, odds[run])
@@ -235,7 +242,7 @@ def _fold(names: pa.Array, bad: np.ndarray, good: np.ndarray, in_toxic: np.ndarr
     x = raw(names.take(pa.array(trained)), basis) @ root
     y = np.where(np.arange(len(trained)) < len(bad), 1.0, -1.0)
     weight = np.where(y > 0, in_toxic[trained], 1.0)
-    weight = np.where(y > 0, np.sqrt(weight) / np.sqrt(weight)[y > 0].sum(), 1 / (y < 0).sum())
+    weight = np.where(y > 0, weight / weight[y > 0].sum(), 1 / (y < 0).sum())
     w = _machine(x, y, weight)
     return Model((basis @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
 
