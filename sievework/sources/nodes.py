@@ -5,11 +5,13 @@ from __future__ import annotations
 import ast
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SCHEMA = """path string, node_id long, parent_id long, ordinal int, named_ordinal int, depth int, kind string, is_named boolean,
 field_name string, text string, start_byte long, end_byte long, start_row int, start_col int, end_row int, end_col int, path_from_root array<long>"""
+_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+COLUMNS = [(name, _KINDS[kind]) for name, kind in (x.split() for x in SCHEMA.replace("\n", " ").split(","))]
 
 #: Names of grammar nodes for the classes of Python's own parser.
 PYTHON_KINDS = {
@@ -93,14 +95,17 @@ PARSERS: dict[str, Callable[[str], list[dict]]] = {"Python": parse_python}
 
 def nodes_of(files: DataFrame, language: str = "Python") -> DataFrame:
     """Nodes of files (path, text) of a language."""
-    parse = PARSERS[language]
-    names = [x.strip().split()[0] for x in SCHEMA.split(",")]
+    parse, kind = PARSERS[language], pa.schema([(n, t) for n, t in COLUMNS])
 
-    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[dict] = []
         for batch in batches:
-            for path, source in zip(batch["path"], batch["text"], strict=True):
-                found = parse(source or "")
-                if found:
-                    yield pd.DataFrame([{"path": path, **r} for r in found], columns=names).astype({"parent_id": "Int64", "named_ordinal": "Int32"})
-
-    return files.select("path", "text").mapInPandas(rows, SCHEMA)
+            for path, source in zip(batch.column("path").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                held += [{"path": path, **r} for r in parse(source or "")]
+                if len(held) > 20_000:
+                    yield pa.RecordBatch.from_pylist(held, kind)
+                    held = []
+        if held:
+            yield pa.RecordBatch.from_pylist(held, kind)
+
+    return files.select("path", "text").mapInArrow(rows, SCHEMA)
