@@ -122,7 +122,7 @@ def hunk_header(line: Column) -> tuple[Column, Column]:
     """Start and number of the new lines of a hunk header; one line if no number is given."""
     pattern = r"^@@[^+]*\+(\d+)(?:,(\d+))?"
     count = F.regexp_extract(line, pattern, 2)
-    return F.regexp_extract(line, pattern, 1).cast("int"), F.when(count == "", 1).otherwise(count.try_cast("int"))
+    return F.regexp_extract(line, pattern, 1).try_cast("int"), F.when(count == "", 1).otherwise(count.try_cast("int"))
 
 
 def hunks_of(diffs: DataFrame) -> DataFrame:

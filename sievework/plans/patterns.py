@@ -114,6 +114,8 @@ def _pattern(r: _Reader) -> Pattern:
     children, absent, predicates, anchored = [], [], [], False
     while r.peek() != ")":
         token = r.peek()
+        if token is None:
+            raise ValueError("pattern: ) expected, found the end")
         if token == ".":
             r.take()
             anchored = True
