@@ -18,7 +18,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one vectorised step works on.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)

@@ -31,7 +31,9 @@ WINDOW, ANCHOR = 35, 8
 DEPTH, CELLS_EACH, MOST_CELLS = 2, 8, 1 << 27
 BLOCK = 1 << 18
 #: Windows that a task groups by itself before it sends them.
-FLUSH = 400_000
+FLUSH = 250_000
+#: Text bytes of one step; hashing needs some hundred bytes for each word of it.
+STEP_BYTES = 3 << 19
 
 
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,6 +62,8 @@ def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 def sliding(x: np.ndarray, size: int, best) -> np.ndarray:  # noqa: ANN001
     """``best`` (np.minimum or np.maximum) over each run of ``size`` values."""
+    if len(x) < size:
+        return x[:0]
     have = 1
     while have * 2 <= size:
         x, have = best(x[: len(x) - have], x[have:]), have * 2
@@ -122,14 +126,14 @@ def sketch(docs: DataFrame, cells: int, window: int, anchor: int) -> list[np.nda
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(blocks), k, np.int32)), pa.array(blocks), pa.array(once, pa.binary()), pa.array(twice, pa.binary())], ["layer", "block", "once", "twice"])
                 parts.clear()
 
-        for rows in slices(batches):
+        for rows in slices(batches, most=STEP_BYTES):
             first, _, counts = word_hashes(rows.column("text"))
             taken = Anchored(first, counts, window, anchor).selected()
             if len(taken):
                 for parts, found in zip(held, cells_of(taken, cells), strict=True):
                     parts.append(found)
                 size += len(taken)
-            if size > 4_000_000:
+            if size > 1_000_000:
                 yield from flush()
                 size = 0
         if size:
@@ -164,7 +168,8 @@ def maybe_repeated(hashes: np.ndarray, bits: list[np.ndarray], cells: int) -> np
 
 
 def _text_key(text: pa.Array) -> np.ndarray:
-    return np.fromiter((0 if t is None else xxhash.xxh3_64_intdigest(t) for t in text.cast(pa.binary()).to_pylist()), np.uint64, len(text)).view(np.int64)
+    """32 bits that tell apart texts under one identifier."""
+    return np.fromiter((0 if t is None else xxhash.xxh32_intdigest(t) for t in text.cast(pa.binary()).to_pylist()), np.uint32, len(text)).view(np.int32)
 
 
 def _spans(starts: np.ndarray, window: int) -> list[int]:
@@ -173,12 +178,13 @@ def _spans(starts: np.ndarray, window: int) -> list[int]:
     return np.stack([np.insert(starts[split + 1], 0, starts[0]), np.append(starts[split], starts[-1]) + window], 1).ravel().tolist()
 
 
-CANDIDATE = "wa long, wb long, n int, doc_id long, text_key long, spans array<int>"
+CANDIDATE = "wa long, wb long, n int, doc_id long, text_key int, start int, spans array<int>"
 
 
 def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, window: int, anchor: int) -> DataFrame:
-    """Rows of three kinds: a window that its task met once (n 1, with its document and span); one that it
-    met more often (n 2); and the spans of a document that the task has found repeated (n 2, under a key of its own)."""
+    """Rows of three kinds: a window that its task met once (n 1, with its document and start); one that it
+    met more often (n 2); and the spans of a document that the task has found repeated (n 2, under a key of its own).
+    The first kind comes in the order of documents, which lets shuffle files compress."""
     shared = docs.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,28 +199,27 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
             new = np.concatenate([[True], (np.diff(a[order].view(np.int64)) != 0) | (np.diff(b[order].view(np.int64)) != 0)])
             group = np.cumsum(new) - 1
             several = np.bincount(group)[group] > 1
-            single, many, one = order[~several], order[several], order[several & new]
+            single, many, one = np.sort(order[~several]), order[several], order[several & new]
             many = many[np.lexsort((start[many], doc[many]))]
             owners, firsts = np.unique(doc[many], return_index=True)
             spans = [_spans(x, window) for x in np.split(start[many], firsts[1:])] if len(many) else []
-            yield batch(a[single], b[single], 1, ids.take(pa.array(doc[single])), keys[doc[single]], np.stack([start[single], start[single] + window], 1).ravel(), None)
-            yield batch(a[one], b[one], 2, pa.nulls(len(one), pa.int64()), None, None, None)
+            yield batch(a[single], b[single], 1, ids.take(pa.array(doc[single])), keys[doc[single]], start[single], None)
+            yield batch(a[one], b[one], 2, None, None, None, None)
             if len(owners):
-                yield batch(keys[owners].view(np.uint64), mix(owners.astype(np.uint64)), 2, ids.take(pa.array(owners)), keys[owners], None, spans)
+                own = keys[owners].astype(np.int64).view(np.uint64)
+                yield batch(mix(own), mix(own + owners.astype(np.uint64)), 2, ids.take(pa.array(owners)), keys[owners], None, spans)
             held.clear()
             docs_of.clear()
 
-        def batch(a, b, n, ids, keys, pairs, spans):  # noqa: ANN001, ANN202
-            if spans is not None:
-                lists = pa.array(spans, pa.list_(pa.int32()))
-            elif pairs is not None:
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * 2), pa.array(pairs.astype(np.int32)))
-            else:
-                lists = pa.nulls(len(a), pa.list_(pa.int32()))
-            keys = pa.nulls(len(a), pa.int64()) if keys is None else pa.array(keys)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), n, np.int32)), ids, keys, lists], ["wa", "wb", "n", "doc_id", "text_key", "spans"])
+        def batch(a, b, n, ids, keys, start, spans):  # noqa: ANN001, ANN202
+            none = lambda kind: pa.nulls(len(a), kind)
+            columns = [
+                pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), n, np.int32)), none(pa.int64()) if ids is None else ids, none(pa.int32()) if keys is None else pa.array(keys),
+                none(pa.int32()) if start is None else pa.array(start.astype(np.int32)), none(pa.list_(pa.int32())) if spans is None else pa.array(spans, pa.list_(pa.int32())),
+            ]
+            return pa.RecordBatch.from_arrays(columns, ["wa", "wb", "n", "doc_id", "text_key", "start", "spans"])
 
-        for rows in slices(batches):
+        for rows in slices(batches, most=STEP_BYTES):
             first, second, counts = word_hashes(rows.column("text"))
             made = Anchored(first, counts, window, anchor)
             at = made.starts[maybe_repeated(made.anchors, shared.value, cells)]
@@ -235,14 +240,14 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
 
 
 def repeated_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, text_key and the spans of words (starts and ends in turn) that repeated windows cover."""
+    """doc_id, text_key, starts of repeated windows, and spans of words (starts and ends in turn) that others cover."""
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = letters // 5 * 2 // (window - anchor + 2)  # anchors: two in each stretch of as many runs as a window has
     cells = min(MOST_CELLS, max(BLOCK, 1 << (CELLS_EACH * expected).bit_length()))
     found = candidate_windows(docs, sketch(docs, cells, window, anchor), cells, window, anchor)
     total = F.sum("n").over(Window.partitionBy("wa", "wb"))
-    known = found.withColumn("total", total).where("total > 1 AND spans IS NOT NULL")
-    return known.groupBy("doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    known = found.withColumn("total", total).where("total > 1 AND text_key IS NOT NULL")
+    return known.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -253,7 +258,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = cut(repeated_spans(docs, window, anchor))
     keys = spans.select("text_key")
-    filter_ = Bits.of(keys, "text_key", keys.count(), plain=True)
+    filter_ = Bits.of(keys.select(F.col("text_key").cast("long")), "text_key", keys.count(), plain=True)
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,31 +271,32 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            yield _kept(rows.column("doc_id"), [t or "" for t in rows.column("text").to_pylist()], rows.column("spans"), with_text, [], [])
+            yield _kept(rows.column("doc_id"), [t or "" for t in rows.column("text").to_pylist()], (rows.column("starts"), rows.column("spans")), with_text, [], [], window)
 
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    first = docs.mapInArrow(known, result + ", text_key long, text string")
+    first = docs.mapInArrow(known, result + ", text_key int, text string")
     done = first.where("n_words IS NOT NULL").drop("text_key", "text")
-    names = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "spans")
+    names = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "starts", "spans")
     waiting = first.where("n_words IS NULL").select("doc_id", "text_key", "text").join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
-    return done.unionByName(waiting.select("doc_id", "text", "spans").mapInArrow(remove, result))
+    return done.unionByName(waiting.select("doc_id", "text", "starts", "spans").mapInArrow(remove, result))
 
 
-def _kept(ids: pa.Array, texts: list[str | None], spans: pa.Array | None, with_text: bool, more: list[pa.Array], names: list[str]) -> pa.RecordBatch:
+def _kept(ids: pa.Array, texts: list[str | None], found: tuple[pa.Array, pa.Array] | None, with_text: bool, more: list[pa.Array], names: list[str], window: int = WINDOW) -> pa.RecordBatch:
     n_words, n_removed, digests, kept = [], [], [], []
-    lists = spans.to_pylist() if spans is not None else [None] * len(texts)
-    for text, span in zip(texts, lists, strict=True):
+    none = [None] * len(texts)
+    starts, spans = (x.to_pylist() for x in found) if found is not None else (none, none)
+    for text, start, span in zip(texts, starts, spans, strict=True):
         if text is None:
             for x in (n_words, n_removed, digests, kept):
                 x.append(None)
             continue
         words = text.encode().split()
         n = len(words)
-        if span:
+        if start or span:
             gone = np.zeros(n + 1, np.int32)
-            ends = np.array(span, np.int64).reshape(-1, 2)
-            np.add.at(gone, ends[:, 0], 1)
-            np.add.at(gone, ends[:, 1], -1)
+            own, ends = np.array(start, np.int64), np.array(span, np.int64).reshape(-1, 2)
+            for at, by in ((own, 1), (own + window, -1), (ends[:, 0], 1), (ends[:, 1], -1)):
+                np.add.at(gone, at, by)
             words = [w for w, g in zip(words, np.cumsum(gone)[:n].tolist(), strict=True) if not g]
         joined = b" ".join(words)
         n_words.append(n)
