@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import encoded, slices, split_words
 
-TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 16 << 20
+TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 12 << 20
 LANDMARKS, ROUNDS = 160, 4
 SPAN, DECAY = 6, 0.6
 THRESHOLD = 0.7
@@ -47,7 +47,7 @@ SYMBOLS = 48
 STEPS = [(a, b) for a in range(1, SPAN) for b in range(1, SPAN - a)]
 RUN = 4
 #: Documents whose letter runs are counted in one step.
-STEP = 300
+STEP = 150
 LOWEST, SHARP = -3.0, 10.0
 
 
@@ -82,27 +82,34 @@ def lengths(units: pa.Array) -> np.ndarray:
     return np.sqrt(np.maximum(total, 1e-12))
 
 
-def raw(units: pa.Array, table: np.ndarray) -> np.ndarray:
-    """The sum of the table's weights over a unit's subsequences, scaled; table: (subsequences,) or (subsequences, n)."""
-    out, norm = np.zeros((len(units), *table.shape[1:])), np.zeros(len(units))
+def raw(units: pa.Array, table: np.ndarray, place: np.ndarray | None = None) -> np.ndarray:
+    """The sum of the table's weights over a unit's subsequences, scaled.
+
+    table: a weight for each subsequence, or, with the ``place`` of each, a row of weights for each place.
+    """
+    out, norm = np.zeros((len(units), *table.shape[1:]), np.float64 if table.ndim == 1 else np.float32), np.zeros(len(units))
     for of, index, weight in occurrences(units):
-        if table.ndim == 1:
+        if place is None:
             out += weight * np.bincount(of, table[index], len(units))
         else:
             for at in range(0, len(of), 20_000):
                 some = of[at : at + 20_000]  # ascending
                 new = np.flatnonzero(np.diff(some, prepend=-1))
-                out[some[new]] += weight * np.add.reduceat(table[index[at : at + 20_000]], new)
+                out[some[new]] += weight * np.add.reduceat(table[place[index[at : at + 20_000]]], new)
         norm += weight * weight * np.bincount(of, minlength=len(units))
     return out / np.sqrt(np.maximum(norm, 1e-12)).reshape(-1, *[1] * (table.ndim - 1))
 
 
-def features(units: pa.Array) -> np.ndarray:
-    """The explicit subsequence counts of each unit, scaled, one column a unit."""
-    out = np.zeros((SYMBOLS**3, len(units)), np.float32)
-    for of, index, weight in occurrences(units):
-        np.add.at(out, (index, of), weight)
-    return out / lengths(units).astype(np.float32)
+def features(units: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scaled counts of the subsequences that the units have, one column a unit (and a row of zeros for all others), each one's number, and the place of any."""
+    found = [(of, index, weight) for of, index, weight in occurrences(units)]
+    used = np.unique(np.concatenate([index for _, index, _ in found]))
+    place = np.full(SYMBOLS**3, len(used), np.int32)
+    place[used] = np.arange(len(used))
+    out = np.zeros((len(used) + 1, len(units)), np.float32)
+    for of, index, weight in found:
+        np.add.at(out, (place[index], of), weight)
+    return out / lengths(units).astype(np.float32), used, place
 
 
 def spelled(words: pa.Array, counts: np.ndarray) -> tuple[pa.Array, np.ndarray]:
@@ -127,7 +134,8 @@ class Model:
     logistic: tuple[float, float] = (0.0, -50.0)
 
     def units(self, units: pa.Array) -> np.ndarray:
-        return np.maximum(LOWEST, raw(units, self.table) + self.offset)
+        parts = [raw(units.slice(at, 40_000), self.table) for at in range(0, len(units), 40_000)]
+        return np.maximum(LOWEST, np.concatenate([np.zeros(0), *parts]) + self.offset)
 
     def summary(self, text: pa.Array) -> np.ndarray:
         """Of each row, a smooth maximum of its units: somewhat above the highest if several are as high."""
@@ -148,15 +156,19 @@ def _suspicious(names: pa.Array, codes: np.ndarray, rows: np.ndarray, toxic: np.
     """For each unit, the surest of its letter runs: a lower bound of the log odds that toxic documents have it."""
     held = np.unique(rows * len(names) + codes)
     doc, unit = held // len(names), held % len(names)
-    code, of = symbols(names)
-    runs = np.zeros(max(0, len(code) - RUN + 1), np.int64)
-    whole = np.ones(len(runs), bool)
-    for k in range(RUN):
-        part = code[k : k + len(runs)]
-        runs, whole = runs * SYMBOLS + part, whole & (part > 0)
-    at = np.flatnonzero(whole & (of[: len(runs)] == of[RUN - 1 :]))
-    kinds, run = np.unique(runs[at], return_inverse=True)
-    by_unit = of[at]  # ascending
+    parts = []
+    for base in range(0, len(names), 40_000):
+        code, of = symbols(names.slice(base, 40_000))
+        runs = np.zeros(max(0, len(code) - RUN + 1), np.int64)
+        whole = np.ones(len(runs), bool)
+        for k in range(RUN):
+            part = code[k : k + len(runs)]
+            runs, whole = runs * SYMBOLS + part, whole & (part > 0)
+        at = np.flatnonzero(whole & (of[: len(runs)] == of[RUN - 1 :]))
+        parts.append((runs[at], (of[at] + base).astype(np.int32)))
+    kinds, run = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    run, by_unit = run.astype(np.int32), np.concatenate([p[1] for p in parts])  # ascending
+    del parts
     n_runs = np.bincount(by_unit, minlength=len(names))
     first = np.cumsum(n_runs) - n_runs
     pos, neg = np.full(len(kinds), 0.5), np.full(len(kinds), 0.5)
@@ -224,7 +236,7 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
         model = _fold(names, bad, chosen, in_toxic)
         worst = good[np.argsort(-model.units(names.take(pa.array(good))), kind="stable")[:400]]
         chosen = np.union1d(chosen, worst)
-    x = model.summary(text)
+    x = np.concatenate([model.summary(text.slice(at, 500)) for at in range(0, len(text), 500)])
     found = ~toxic | (x > np.quantile(x[~toxic], EXPLAINED))
     slope, level = _logistic(x[found, None], toxic[found].astype(float)).tolist()
     model.logistic = (slope, level)
@@ -234,17 +246,19 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
 def _fold(names: pa.Array, bad: np.ndarray, good: np.ndarray, in_toxic: np.ndarray) -> Model:
     half = LANDMARKS // 2
     marks = np.concatenate([bad[:half], good[:: max(1, len(good) // (LANDMARKS - half))][: LANDMARKS - half]])
-    basis = features(names.take(pa.array(marks)))
+    basis, used, place = features(names.take(pa.array(marks)))
     values, vectors = np.linalg.eigh((basis.T @ basis).astype(np.float64))
     keep = values > 1e-4 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])
     trained = np.concatenate([bad, good])
-    x = raw(names.take(pa.array(trained)), basis) @ root
+    x = raw(names.take(pa.array(trained)), basis, place) @ root
     y = np.where(np.arange(len(trained)) < len(bad), 1.0, -1.0)
     weight = np.where(y > 0, in_toxic[trained], 1.0)
     weight = np.where(y > 0, weight / weight[y > 0].sum(), 1 / (y < 0).sum())
     w = _machine(x, y, weight)
-    return Model((basis @ (root @ w[:-1])).astype(np.float32), float(w[-1]))
+    table = np.zeros(SYMBOLS**3, np.float32)
+    table[used] = basis[:-1] @ (root @ w[:-1]).astype(np.float32)
+    return Model(table, float(w[-1]))
 
 
 def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
@@ -281,6 +295,7 @@ def scored(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample(docs, labels)
+    pa.default_memory_pool().release_unused()
     return fit(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["toxic"].to_numpy().astype(bool))
 
 
