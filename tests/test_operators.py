@@ -232,7 +232,7 @@ def test_complexity_and_patterns(spark):  # noqa: ANN001
     assert len(search("(except_clause !type) @m")) == 1
     assert len(search("(function_definition . (identifier) @first)")) == 2
     assert search('(call function: (identifier) @f (#not-match? @f "^e")) @m') == []
-    assert len(search("(function_definition (if_statement)? @i (return_statement) @r) @m")) == 2
+    assert len(search("(block (if_statement)? @i (return_statement) @r) @m")) == 2
     for wrong in ("(a", "(a))", "(a (#odd? @a))"):
         with pytest.raises(ValueError, match="pattern"):
             search(wrong)
