@@ -24,6 +24,19 @@ M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: Rows of one Arrow batch. Spark's own setting counts rows as if they were short; documents aren't, and
+#: the JVM and Python each hold a batch.
+BATCH_ROWS, BATCH_KEY = "1500", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, in a session whose Arrow batches suit documents, unless the session's owner chose their size."""
+    conf = df.sparkSession.conf
+    if conf.get(BATCH_KEY) == "10000":
+        conf.set(BATCH_KEY, BATCH_ROWS)
+    return df
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -55,6 +68,7 @@ def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
     A filter over the keys, of bounded size, lets most rows pass without a shuffle; the others are held
     against the keys themselves.
     """
+    df = bounded(df)
     gone = cut(gone.select(F.col(key).alias("_gone")).distinct())
     count = gone.count()
     if not count:

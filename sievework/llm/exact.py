@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, cut, slices, without_keys
+from .common import Bits, bounded, cut, slices, without_keys
 
 MEMTABLE, FANOUT = 8192, 4
 #: Stands for a null identifier: after all others.
@@ -165,7 +165,7 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[byte
                 own.put(d, NO_ID if none else s, p, n)
         return _entry_batches(own)
 
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long"), "text")
     rows = cut(docs.mapInArrow(digests, "doc_id long, place long, digest binary, text_sha256 string"))
     runs = rows.select("doc_id", "place", "digest").mapInArrow(index, ENTRY)
     hits = runs.repartition("digest").mapInArrow(compact, ENTRY).where("rows > 1")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, Bits, cut, hash_words, mix, pair_hash, slices, split_words, without_keys
+from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, slices, split_words, without_keys
 
 SHINGLE, SHARE = 3, 85
 #: At similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of about 2e-9.
@@ -301,7 +301,7 @@ def near_components(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) ->
     """
     if share < 85:
         raise ValueError("the number of matches is chosen for similarities of 0.85 or more")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(described(docs, size))
     classes = cut(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("post").alias("post")))
     # sets of fewer shingles are linked with equal ones only

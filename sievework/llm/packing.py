@@ -14,6 +14,7 @@ identifiers are packed like others; an empty table gives no pieces; other column
 from __future__ import annotations
 
 import hashlib
+import threading
 import zlib
 from collections.abc import Iterator
 from pathlib import Path
@@ -25,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, encoded, slices
+from .common import bounded, cut, encoded, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Distinct stems whose ids a worker keeps.
@@ -120,11 +121,16 @@ class Ids:
         return ids, counts
 
 
-#: A worker process keeps one, whatever task it runs.
+#: What a worker process keeps from one task to the next, and what drops it.
 _MAKERS: dict[str, Ids] = {}
+_TIMERS: list[threading.Timer] = []
+IDLE_S = 8
 
 
 def maker_of(definition: str) -> Ids:
+    """The worker's store of ids; a worker that gets no further task soon gives its memory back (see ``rest``)."""
+    while _TIMERS:
+        _TIMERS.pop().cancel()
     key = hashlib.sha256(definition.encode()).hexdigest()
     if key not in _MAKERS:
         _MAKERS.clear()
@@ -132,6 +138,14 @@ def maker_of(definition: str) -> Ids:
     return _MAKERS[key]
 
 
+def rest() -> None:
+    """Called as a task ends: the store is dropped unless another task asks for it in time."""
+    timer = threading.Timer(IDLE_S, _MAKERS.clear)
+    timer.daemon = True
+    _TIMERS.append(timer)
+    timer.start()
+
+
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
     """(times, [(length, count), ...]) of each pattern; together they use up ``counts`` exactly.
 
@@ -225,9 +239,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
                 [rows.column("doc_id").take(pa.array(of)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(counts[of]), pa.array(np.full(len(of), part, np.int32)), pa.array(rank)],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "rank"],
             )
+        rest()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(cut_up, f"doc_id {kind}, {PIECES}")
+    return bounded(docs).select("doc_id", "text").mapInArrow(cut_up, f"doc_id {kind}, {PIECES}")
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, Bits, cut, encoded, mix, pair_hash, slices, split_words
+from .common import GOLD, Bits, bounded, cut, encoded, mix, pair_hash, slices, split_words
 
 WINDOW, ANCHOR = 35, 8
 #: Rows of the sketch, its cells a row for each anchor that is to be expected, and its most cells a row.
@@ -255,7 +255,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
 
     window: words of a passage; anchor: words of the runs among which its anchor is chosen.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = cut(repeated_spans(docs, window, anchor))
     keys = spans.select("text_key")
     filter_ = Bits.of(keys.select(F.col("text_key").cast("long")), "text_key", keys.count(), plain=True)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import encoded, slices, split_words
+from .common import bounded, encoded, slices, split_words
 
 #: Words of more bytes are read one by one; shorter ones in step with each other.
 LONG = 96
@@ -164,4 +164,4 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(n), pa.array(ends[stops] - ends[stops - n])], ["doc_id", "n_words", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")
+    return bounded(docs).select("doc_id", "text").mapInArrow(count, f"doc_id {kind}, n_words long, n_tokens long")

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import encoded, slices, split_words
+from .common import bounded, encoded, slices, split_words
 
 TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 12 << 20
 LANDMARKS, ROUNDS = 160, 4
@@ -280,6 +280,7 @@ def _crc(column: str):  # noqa: ANN202
 def scored(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; carry: all columns of ``docs`` and ``_score`` instead."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = bounded(docs)
     frame = docs if carry else docs.select("doc_id", "text", (F.col("doc_id").isNotNull() & (F.pmod(_crc("doc_id"), F.lit(3)) == 1)).alias("held_out"))
     kept = docs.columns if carry else ["doc_id", "held_out"]
 
