@@ -20,11 +20,22 @@ class Kinds:
     decisions: tuple[str, ...]
     comments: tuple[str, ...] = ("comment",)
     logical: tuple[str, ...] = ("boolean_operator",)
+    #: Where a logical kind has other operators too: the tokens below it that make it logical.
+    signs: tuple[str, ...] = ()
 
 
+#: Node kinds of each language's grammar. Nodes of other languages than Python come as a table.
 LANGUAGES = {
-    "Python": Kinds(("function_definition",), ("if_statement", "elif_clause", "for_statement", "while_statement", "except_clause", "conditional_expression", "case_clause")),
+    "TypeScript": Kinds(("function_declaration", "arrow_function", "method_definition"), ("if_statement", "for_statement", "for_in_statement", "while_statement", "do_statement", "switch_case", "catch_clause", "ternary_expression"), ("comment",), ("binary_expression",), ("&&", "||")),
+    "Java": Kinds(("method_declaration", "constructor_declaration"), ("if_statement", "for_statement", "enhanced_for_statement", "while_statement", "do_statement", "switch_label", "catch_clause", "ternary_expression"), ("line_comment", "block_comment"), ("binary_expression",), ("&&", "||")),
+    "Python": Kinds(("function_definition",), ("if_statement", "elif_clause", "for_statement", "while_statement", "except_clause", "conditional_expression"), ("comment",), ("boolean_operator",)),
+    "Go": Kinds(("function_declaration", "method_declaration"), ("if_statement", "for_statement", "expression_case", "type_case", "communication_case"), ("comment",), ("binary_expression",), ("&&", "||")),
+    "CSharp": Kinds(("method_declaration", "constructor_declaration"), ("if_statement", "for_statement", "for_each_statement", "while_statement", "do_statement", "switch_section", "catch_clause", "conditional_expression"), ("comment",), ("binary_expression",), ("&&", "||")),
+    "Ruby": Kinds(("method",), ("if", "elsif", "for", "while", "until", "when", "rescue", "conditional"), ("comment",), ("binary",), ("&&", "||")),
+    "Php": Kinds(("function_definition", "method_declaration"), ("if_statement", "else_if_clause", "for_statement", "foreach_statement", "while_statement", "do_statement", "case_statement", "catch_clause", "conditional_expression"), ("comment",), ("binary_expression",), ("&&", "||")),
+    "Kotlin": Kinds(("function_declaration",), ("if_expression", "for_statement", "while_statement", "do_while_statement", "when_entry", "catch_block"), ("line_comment", "multiline_comment"), ("conjunction_expression", "disjunction_expression")),
 }
+LANGUAGES["JavaScript"] = LANGUAGES["TypeScript"]
 
 
 def line_counts(files: DataFrame, comments: DataFrame | None = None, prefix: str = r"^\s*(#|//)") -> DataFrame:
@@ -53,7 +64,12 @@ def function_metrics(nodes: DataFrame, kinds: Kinds) -> DataFrame:
     names = nodes.where("field_name = 'name'").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.min_by("text", "ordinal").alias("name"))
     parameters = nodes.where("field_name = 'parameters'").select("path", F.col("node_id").alias("p"), F.col("parent_id").alias("f"))
     held = nodes.where("is_named").select("path", F.col("parent_id").alias("p")).join(parameters, ["path", "p"]).groupBy("path", F.col("f").alias("node_id")).agg(F.count(F.lit(1)).alias("parameters"))
+    if kinds.signs:
+        signed = nodes.where(~F.col("is_named") & F.col("kind").isin(*kinds.signs)).select("path", F.col("parent_id").alias("node_id")).distinct().withColumn("signed", F.lit(True))
+        nodes = nodes.join(signed, ["path", "node_id"], "left")
     decision, logical = F.col("kind").isin(*kinds.decisions), F.col("kind").isin(*kinds.logical)
+    if kinds.signs:
+        logical = logical & F.coalesce("signed", F.lit(False))
     decisions = nodes.where(decision).groupBy("path").agg(F.collect_set("node_id").alias("decisions"))
     marks = nodes.where(decision | logical).select("path", F.col("node_id").alias("mark"), "path_from_root", decision.alias("is_decision")).join(decisions, "path", "left")
     above = F.filter("path_from_root", lambda n: F.array_contains(F.coalesce("decisions", F.array().cast("array<bigint>")), n) & (n != F.col("mark")))

@@ -381,3 +381,58 @@ def test_scopes(spark):  # noqa: ANN001
     assert {(r["name"], r["state"]) for r in scopes.definitions(inside).where("path = 'app/views.py'").collect()} == {("uid", "tainted"), ("safe", "clean"), ("q", "unknown"), ("key", "unknown")}
     assert {(r["local_name"], r["module"]) for r in scopes.imports(tree).collect()} == {("request", "flask"), ("lookup", ".services")}
     assert ("cursor.execute", ("s",)) in {(r["callee"], tuple(r["args"])) for r in scopes.calls(inside).collect()}
+
+
+def test_git_changes(spark, tmp_path):  # noqa: ANN001
+    import subprocess
+
+    from sievework.sources import changes
+
+    git = lambda *a: subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=t", "-c", "user.email=t@example.org", *a], check=True, capture_output=True)
+    assert changes.changes(spark, str(tmp_path), "HEAD").whole
+    git("init", "-q")
+    (tmp_path / "a.py").write_text("1\n2\n3\n")
+    git("add", ".")
+    git("commit", "-qm", "x")
+    (tmp_path / "a.py").write_text("1\nx\n3\ny\n")
+    (tmp_path / "b.py").write_text("n\n")
+    git("add", ".")
+    held = changes.changes(spark, str(tmp_path), "HEAD")
+    assert sorted(map(tuple, held.files.collect())) == [("a.py", "Modified"), ("b.py", "Added")]
+    assert sorted(map(tuple, held.hunks.collect())) == [("a.py", 2, 1), ("a.py", 4, 1), ("b.py", 1, 1)]
+    with pytest.raises(ValueError, match="no reference"):
+        changes.changes(spark, str(tmp_path), "nothing")
+
+
+def test_rule_packs(spark, tmp_path):  # noqa: ANN001
+    from sievework.sources import rulepacks
+
+    store, path = str(tmp_path / "store"), str(tmp_path / "p.tgz")
+    for pack, version in (("a", "1.0.0"), ("a", "1.1.0"), ("b", "2.0.0")):
+        rulepacks.build(path, pack, version, {"r.yaml": version.encode()}, [{"id": "r", "version": version}], b"k")
+        assert rulepacks.install(path, store, b"k")["version"] == version
+    assert sorted((r["pack"], r["version"]) for r in rulepacks.installed(spark, store).collect()) == [("a", "1.1.0"), ("b", "2.0.0")]
+    assert [tuple(r) for r in rulepacks.conflicts(rulepacks.installed(spark, store), "b").collect()] == [("r", "a", "1.1.0", "2.0.0")]
+    assert rulepacks.rollback(store, "a") == "1.0.0" and {r["version"] for r in rulepacks.installed(spark, store).collect()} == {"1.0.0", "2.0.0"}
+    with pytest.raises(ValueError, match="no version before"):
+        rulepacks.rollback(store, "a")
+    with pytest.raises(ValueError, match="signature"):
+        rulepacks.install(path, store, b"other")
+    rulepacks.build(path, "../x", "1.0.0", {"r.yaml": b""}, [])
+    with pytest.raises(ValueError, match="unsafe"):
+        rulepacks.install(path, store)
+
+
+def test_scripts(spark):  # noqa: ANN001
+    from sievework.operators import scripted
+
+    tree = nodes.nodes_of(spark.createDataFrame([("f.py", SOURCE)], "path string, text string"))
+    rows = scripted.evaluate(tree, {"long": lambda n: ["a", "b"] if n["kind"] == "for_statement" else [], "bad": lambda n: 1 // 0})
+    assert sorted((r["rule_id"], r["start_line"], r["message"]) for r in rows.collect()) == [("long", 5, "a"), ("long", 5, "b")]
+
+
+def test_logical_signs_of_other_languages(spark):  # noqa: ANN001
+    rows = [("f", 0, None, 0, "function_declaration", True, None, [0]), ("f", 1, 0, 1, "identifier", True, "name", [0, 1]), ("f", 2, 0, 1, "binary_expression", True, None, [0, 2]), ("f", 3, 2, 2, "&&", False, None, [0, 2, 3]), ("f", 4, 0, 1, "binary_expression", True, None, [0, 4]), ("f", 5, 4, 2, "+", False, None, [0, 4, 5])]
+    full = [(p, i, up, 0, 0, d, k, n, f, "t", 0, 0, 0, 0, 0, 0, r) for p, i, up, d, k, n, f, r in rows]
+    tree = spark.createDataFrame(full, nodes.SCHEMA)
+    assert metrics.function_metrics(tree, metrics.LANGUAGES["Go"]).first()["cyclomatic"] == 2
