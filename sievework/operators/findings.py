@@ -57,7 +57,7 @@ def scan(files: DataFrame, rules: tuple[TextRule, ...] = TEXT_RULES) -> DataFram
     rows = rows.withColumn("f", F.explode(F.array_compact(F.array(*found))))
     return rows.select(
         text.fingerprint(F.col("f.rule_id"), F.col("file_path"), F.col("line")).alias("fingerprint"), "f.rule_id", ranks.capped(F.col("f.severity"), F.col("f.confidence")).alias("severity"), "f.confidence", "f.category", "f.cwe_id",
-        text.normal_path(F.col("file_path")).alias("file_path"), (F.col("at") + 1).alias("start_line"), "f.start_col", F.col("line").alias("snippet"),
+        text.normal_path(F.col("file_path")).alias("file_path"), (F.col("at") + 1).cast("long").alias("start_line"), F.col("f.start_col").cast("long").alias("start_col"), F.col("line").alias("snippet"),
     )
 
 

@@ -81,7 +81,7 @@ def function_metrics(nodes: DataFrame, kinds: Kinds) -> DataFrame:
     )
     out = functions.join(names, ["path", "node_id"]).join(counted, ["path", "node_id"], "left").join(held, ["path", "node_id"], "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
-    return out.select("path", "node_id", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).alias("loc"), (zero(F.col("marks")) + 1).alias("cyclomatic"), zero(F.col("cognitive")).alias("cognitive"), zero(F.col("parameters")).alias("parameters"))
+    return out.select("path", "node_id", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("loc"), (zero(F.col("marks")) + 1).alias("cyclomatic"), zero(F.col("cognitive")).alias("cognitive"), zero(F.col("parameters")).alias("parameters"))
 
 
 def threshold_findings(functions: DataFrame, cyclomatic: int = MOST_CYCLOMATIC, cognitive: int = MOST_COGNITIVE, tool: str = "sieve") -> DataFrame:

@@ -292,7 +292,7 @@ ORACLES = {
     "import_candidates": "WITH i AS (SELECT n_regionkey AS r, n_nationkey % 4 AS k, 'src/a' || n_regionkey || '/f' || n_nationkey || '.ts' AS path, ['./m', '../lib/m', 'pkg.m', './none'][n_nationkey % 4 + 1] || CASE WHEN n_nationkey % 4 < 3 THEN CAST(n_regionkey AS VARCHAR) ELSE '' END AS module FROM nation), t AS (SELECT path, module, CASE WHEN k = 0 AND r IN (0, 1) THEN 'src/a' || r || '/m' || r || '.ts' WHEN k = 0 AND r = 2 THEN 'src/a2/m2/index.ts' WHEN k = 1 AND r = 3 THEN 'src/lib/m3.tsx' WHEN k = 1 AND r = 0 THEN 'src/lib/m0.py' WHEN k = 2 AND r = 4 THEN 'pkg/m4.py' END AS target FROM i) SELECT * FROM t WHERE target IS NOT NULL",
     "lru_keep_n": "SELECT CAST(event_id AS VARCHAR) AS key, ts AS accessed_at FROM events ORDER BY ts DESC, CAST(event_id AS VARCHAR) LIMIT 500",
     "version_invalidation": "SELECT p_partkey AS key FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_type = (SELECT min(p_type) FROM part)",
-    "discovery_counters": "WITH p AS (SELECT page_id, page_id % 6 AS k, octet_length(encode(html)) AS n FROM pages), d AS (SELECT CASE WHEN page_id % 9 = 0 THEN 'excluded' WHEN k IN (2, 5) THEN 'unsupported' WHEN n > 4096 THEN 'too_large' ELSE 'scanned' END AS d FROM p) SELECT count(*) FILTER (WHERE d = 'scanned') AS scanned, count(*) FILTER (WHERE d = 'excluded') AS excluded, count(*) FILTER (WHERE d = 'unsupported') AS unsupported, 0 AS filtered, 0 AS \"binary\", count(*) FILTER (WHERE d = 'too_large') AS too_large, 0 AS not_utf8, count(*) AS total FROM d",
+    "discovery_counters": "WITH p AS (SELECT page_id, page_id % 6 AS k, octet_length(encode(html)) AS n FROM pages), d AS (SELECT CASE WHEN page_id % 9 = 0 THEN 'excluded' WHEN k IN (2, 5) THEN 'unsupported' WHEN n > 4096 THEN 'too_large' ELSE 'scanned' END AS d FROM p) SELECT count(*) FILTER (WHERE d = 'scanned') AS scanned, count(*) FILTER (WHERE d = 'excluded') AS excluded, count(*) FILTER (WHERE d = 'unsupported') AS unsupported, 0::BIGINT AS filtered, 0::BIGINT AS \"binary\", count(*) FILTER (WHERE d = 'too_large') AS too_large, 0::BIGINT AS not_utf8, count(*) AS total FROM d",
     "file_flags": "WITH f(k, path, is_test, is_example, is_generated, language) AS (VALUES (0, 'a/tests/x.py', true, false, false, 'Python'), (1, 'test_a.py', true, false, false, 'Python'), (2, 'latest.ts', false, false, false, 'TypeScript'), (3, '.env.example', false, true, false, NULL), (4, 'config.sample.ts', false, true, false, 'TypeScript'), (5, 'src/FooTests.cs', true, false, false, 'CSharp'), (6, 'b/x.spec.tsx', true, false, false, 'TypeScript'), (7, 'app.go', false, false, false, 'Go'), (8, 'lib/y.min.js', false, false, true, 'JavaScript'), (9, 'z.rb', false, false, false, 'Ruby')) SELECT path, count(*) AS n, is_test, is_example, is_generated, language FROM part JOIN f ON p_partkey % 10 = k GROUP BY ALL",
     "hunk_parse": "SELECT 'f' || o_orderkey AS path, CAST(o_orderkey % 50 AS INT) AS start_line, 3 AS line_count FROM orders UNION ALL SELECT 'f' || o_orderkey, CAST(o_custkey % 90 AS INT), 1 FROM orders",
     "version_order": "SELECT p_partkey, CASE WHEN p_size <> p_partkey % 50 THEN CASE WHEN p_size < p_partkey % 50 THEN -1 ELSE 1 END WHEN p_partkey % 3 = 0 THEN 1 WHEN p_partkey % 3 = 1 THEN 0 ELSE -1 END AS ordering FROM part",

@@ -77,7 +77,7 @@ def _directives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = found(spark, sf_dir).where("start_line % 3 = 0").select("file_path", "start_line", "rule_id").distinct()
     after = F.when(F.col("start_line") % 2 == 0, F.concat(F.lit("["), "rule_id", F.lit("] known"))).otherwise(F.lit(" */"))
     line = F.concat(F.lit("x = 1 // "), F.lit(findings.DIRECTIVE), after)
-    return rows.select("file_path", F.concat(F.repeat(F.lit("\n"), F.col("start_line") - 1), line).alias("text"))
+    return rows.select("file_path", F.concat(F.repeat(F.lit("\n"), (F.col("start_line") - 1).cast("int")), line).alias("text"))
 
 
 def inline_suppression(spark: SparkSession, sf_dir: str) -> DataFrame:
