@@ -163,6 +163,17 @@ def test_plans_use_all_lengths_and_fill_best(counts):  # noqa: ANN001
     assert not +left and not -left
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.integers(0, 3)), min_size=1, max_size=400, unique=True))
+def test_the_store_finds_what_it_was_given(keys):  # noqa: ANN001
+    a, b = (np.array([k[n] for k in keys], np.uint64) for n in (0, 1))
+    store, half = packing.Store(1000), len(keys) // 2
+    store.add(a[:half], b[:half], np.arange(half))
+    assert store.find(a, b).tolist() == [*range(half), *[-1] * (len(keys) - half)]
+    store.add(a[half:], b[half:], np.arange(half, len(keys)))
+    assert store.find(a, b).tolist() == list(range(len(keys)))
+
+
 # 4 exact deduplication
 
 
