@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,13 +13,14 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, StructType
 
 #: Runs of these six characters (tab to carriage return, and space) part words.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Text bytes that one vectorised step works on.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 3 << 20
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -82,8 +84,6 @@ def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
             may = shared.value.has([rows.column(c).to_numpy() for c in ("_p0", "_p1")]) & known
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(may)], [*columns, "_may"])
 
-    from pyspark.sql.types import BooleanType, StructType
-
     asked = df.withColumns({f"_p{i}": p for i, p in enumerate(shared.value.places(key))})
     marked = asked.mapInArrow(mark, StructType([*df.schema.fields]).add("_may", BooleanType()))
     unsure = marked.where("_may").drop("_may").join(gone, F.col(key) == F.col("_gone"), "left_anti")
@@ -94,6 +94,13 @@ def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def release() -> None:
+    """Gives freed memory back to the system, as idle workers stay beside the JVM for a while."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cuts record batches into runs of rows of about ``most`` text bytes; one longer text is a run of its own."""
     for batch in batches:
@@ -104,6 +111,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             to = max(at + 1, int(np.searchsorted(ends, base + most, side="right")))
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 def split_words(text: pa.Array) -> tuple[pa.Array, np.ndarray]:

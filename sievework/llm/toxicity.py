@@ -30,8 +30,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from .common import bounded, encoded, slices, split_words
 
@@ -267,13 +268,11 @@ def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int =
     order = F.xxhash64("doc_id")
     taken = known.where("toxic").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("NOT toxic").orderBy(order, "doc_id").limit(clean))
     rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(taken), "doc_id")  # at most toxic + clean rows
-    from pyspark.sql import Window
-
     so_far = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy(order, "doc_id", "text").select("text", "toxic").toArrow()
 
 
-def _crc(column: str):  # noqa: ANN202
+def _crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
@@ -288,8 +287,6 @@ def scored(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
         for rows in slices(batches):
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(shared.value.scores(rows.column("text")))], [*kept, "_score"])
 
-    from pyspark.sql.types import DoubleType
-
     made = frame.mapInArrow(score, frame.select(*kept).schema.add("_score", DoubleType()))
     return made if carry else made.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
 

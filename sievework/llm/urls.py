@@ -22,10 +22,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import bounded, cut
+
 #: (rule, verdict): host and path prefix; the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Hosts that the list names.
-LISTED = ("www.spam-farm.example.org", "adult-x.example.com")
+#: Hosts that the list names: unwanted sites, with the prefixes and endings that they are reached by.
+LISTED = tuple(f"{prefix}{name}.example.{end}" for name in ("adult-x", "casino-win", "cheap-pills", "spam-farm") for prefix in ("", "blog.", "m.", "www.") for end in ("com", "net", "org"))
 #: Keys of one shard, about, and bytes of cascades that are broadcast at once.
 SHARD_KEYS, AT_ONCE = 200_000, 32 << 20
 MOST_LEVELS = 48
@@ -134,8 +136,6 @@ def with_listed(df: DataFrame, made: DataFrame, key: str, name: str = "listed",
     a pass of its own; a pass over one lot is written before the next one begins. Lists of some hundred
     million keys fit in one lot.
     """
-    from .common import cut
-
     sizes = made.select("shard", "shards", F.expr("aggregate(levels, 0L, (n, x) -> n + length(x.data))").alias("n")).orderBy("shard").toLocalIterator()
     lots, held, shards = [[]], 0, 1
     for row in sizes:
@@ -173,7 +173,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> Dat
     listed: hosts to block where no rule fits, in a column ``key``.
     """
     host, path = host_and_path(F.col("url"))
-    parsed = pages.select("page_id", host.alias("host"), path.alias("path"))
+    parsed = bounded(pages).select("page_id", host.alias("host"), path.alias("path"))
     made = cascades(parsed.select(F.col("host").alias("key")), listed).cache()
     try:
         judged = with_listed(parsed, made, "host")
@@ -201,10 +201,11 @@ def listed_hosts(spark: SparkSession, hosts: tuple[str, ...] = LISTED) -> DataFr
 
 #: The same verdicts by plain SQL.
 ORACLE_SQL = r"""
-WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+WITH named AS (SELECT prefix || name || '.example.' || ending AS key FROM (VALUES ('adult-x'), ('casino-win'), ('cheap-pills'), ('spam-farm')) a(name), (VALUES (''), ('blog.'), ('m.'), ('www.')) b(prefix), (VALUES ('com'), ('net'), ('org')) c(ending)),
+u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
 r AS (SELECT *, '.' || host AS d,
-  host IN ('www.spam-farm.example.org', 'adult-x.example.com') AS listed FROM h),
+  host IN (SELECT key FROM named) AS listed FROM h),
 m AS (SELECT *, CASE WHEN suffix(d, '.example.com') AND starts_with(path, '/de/') THEN 'example.com/de/'
   WHEN suffix(d, '.example.net') AND starts_with(path, '/en/') THEN 'example.net/en/'
   WHEN suffix(d, '.org') AND starts_with(path, '/fr/') THEN 'org/fr/'
