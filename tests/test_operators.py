@@ -436,3 +436,14 @@ def test_logical_signs_of_other_languages(spark):  # noqa: ANN001
     full = [(p, i, up, 0, 0, d, k, n, f, "t", 0, 0, 0, 0, 0, 0, r) for p, i, up, d, k, n, f, r in rows]
     tree = spark.createDataFrame(full, nodes.SCHEMA)
     assert metrics.function_metrics(tree, metrics.LANGUAGES["Go"]).first()["cyclomatic"] == 2
+
+
+def test_windows_close_behind_the_watermark(spark, tmp_path):  # noqa: ANN001
+    from sievework.streaming import severity_by_window
+
+    rows = [("2024-01-01 00:10:00", "high"), ("2024-01-01 00:50:00", "high"), ("2024-01-01 01:05:00", "low"), ("2024-01-01 03:00:00", "low")]
+    spark.createDataFrame(rows, "ts string, severity string").select(F.to_timestamp("ts").alias("ts"), "severity").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("ts timestamp, severity string").parquet(str(tmp_path / "in"))
+    query = severity_by_window(stream).writeStream.format("memory").queryName("closed").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted((r["window"]["start"].hour, r["severity"], r["findings"]) for r in spark.table("closed").collect()) == [(0, "high", 2), (1, "low", 1)]
