@@ -22,6 +22,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,6 +37,39 @@ STEP_BYTES = 10 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
+class Store:
+    """Numbers by 128-bit keys: open addressing in flat arrays, read and filled many keys at a time."""
+
+    def __init__(self, room: int):
+        size = 1 << max(10, (room - 1).bit_length())
+        self.shift, self.mask = np.uint64(64 - size.bit_length() + 1), size - 1
+        self.a, self.b, self.value = np.zeros(size, np.uint64), np.zeros(size, np.uint64), np.full(size, -1, np.int32)
+
+    def find(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The number of each key, or -1."""
+        out, slot, todo = np.full(len(a), -1, np.int64), (a >> self.shift).astype(np.int64), np.arange(len(a))
+        while len(todo):
+            at = slot[todo]
+            there = self.value[at]
+            hit = (there >= 0) & (self.a[at] == a[todo]) & (self.b[at] == b[todo])
+            out[todo[hit]] = there[hit]
+            todo = todo[~hit & (there >= 0)]
+            slot[todo] = (slot[todo] + 1) & self.mask
+        return out
+
+    def add(self, a: np.ndarray, b: np.ndarray, values: np.ndarray) -> None:
+        """Adds keys that it doesn't have, each once."""
+        slot, todo = (a >> self.shift).astype(np.int64), np.arange(len(a))
+        while len(todo):
+            free = todo[self.value[slot[todo]] < 0]
+            at, first = np.unique(slot[free], return_index=True)
+            won = free[first]
+            self.a[at], self.b[at], self.value[at] = a[won], b[won], values[won]
+            todo = np.setdiff1d(todo, won, assume_unique=True)
+            full = self.value[slot[todo]] >= 0
+            slot[todo[full]] = (slot[todo[full]] + 1) & self.mask
+
+
 class Ids:
     """Token ids of texts, by the ids of their white-space-parted chunks, which are independent of each other.
 
@@ -53,32 +87,31 @@ class Ids:
         self._clear()
 
     def _clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.starts, self.sizes = [], [], []
-        self.end = 0
+        self.store = Store(2 * KEPT_WORDS)
+        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _slots(self, names: pa.Array) -> np.ndarray:
         """Places of the names' ids."""
-        if len(self.known) + len(names) > KEPT_WORDS:
+        if len(self.sizes) + len(names) > KEPT_WORDS:
             self._clear()
         names = names.to_pylist()
-        slots = list(map(self.known.get, names))
-        new = [w for w, x in zip(names, slots, strict=True) if x is None]
-        for at in range(0, len(new), 10_000):
-            some = new[at : at + 10_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.known.update(zip(some, range(len(self.known), len(self.known) + len(some)), strict=True))
-            self.starts.append(self.end + np.cumsum(sizes) - sizes)
-            self.sizes.append(sizes)
-            self.flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())))
-            self.end += int(sizes.sum())
-        for k in ("flat", "starts", "sizes"):
-            if len(x := getattr(self, k)) > 1:
-                setattr(self, k, [np.concatenate(x)])
-        out = np.array([-1 if x is None else x for x in slots], np.int64) if new else np.array(slots, np.int64)
-        out[out < 0] = np.arange(len(self.known) - len(new), len(self.known))
-        return out
+        a, b = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in names]), np.uint64).reshape(-1, 2).T
+        if len(names) > KEPT_WORDS:  # a step with more stems than are kept
+            self.store = Store(2 * len(names))
+        slots = self.store.find(a, b)
+        new = np.flatnonzero(slots < 0)
+        if len(new):
+            flat, sizes = [], []
+            for at in range(0, len(new), 10_000):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([names[k] for k in new[at : at + 10_000].tolist()], add_special_tokens=False)]
+                sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
+                flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes[-1].sum())))
+            slots[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
+            self.store.add(a[new], b[new], slots[new])
+            size = np.concatenate(sizes)
+            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(size, dtype=np.int64) - size])
+            self.sizes, self.flat = np.concatenate([self.sizes, size]), np.concatenate([self.flat, *flat])
+        return slots
 
     def _chunks(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the ids of each chunk's two parts; the second is that of the empty string for most."""
@@ -105,9 +138,9 @@ class Ids:
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
         stems, ends = self._chunks(names)
         slots = np.stack([stems[codes], ends[codes]], 1).ravel()
-        sizes, firsts = self.sizes[0][slots], self.starts[0][slots]
+        sizes, firsts = self.sizes[slots].astype(np.int64), self.starts[slots]
         upto = np.cumsum(sizes)
-        ids = self.flat[0][np.repeat(firsts - upto + sizes, sizes) + np.arange(upto[-1])]
+        ids = self.flat[np.repeat(firsts - upto + sizes, sizes) + np.arange(upto[-1])]
         stops = np.concatenate([[0], upto])[2 * np.cumsum(n_words)]
         counts = np.diff(stops, prepend=0)
         whole = np.zeros(len(text), bool)
