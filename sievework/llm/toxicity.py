@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from .common import bounded, encoded, slices, split_words
+from .common import bounded, encoded, release, slices, split_words
 
 TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 12 << 20
 LANDMARKS, ROUNDS = 160, 4
@@ -223,6 +223,7 @@ def fit(text: pa.Array, toxic: np.ndarray) -> Model:
         return Model()
     odds = _suspicious(names, codes, rows, toxic)
     held = np.unique(rows * len(names) + codes)
+    del units, codes, rows
     in_toxic = np.bincount(held % len(names), toxic[held // len(names)], len(names))
     in_clean = np.bincount(held % len(names), minlength=len(names)) - in_toxic
     bad = np.flatnonzero((odds > 1.5) & (in_toxic > in_clean))
@@ -293,8 +294,13 @@ def scored(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
     rows = sample(docs, labels)
-    pa.default_memory_pool().release_unused()
-    return fit(rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["toxic"].to_numpy().astype(bool))
+    text, toxic = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["toxic"].to_numpy().astype(bool)
+    del rows
+    release()
+    model = fit(text, toxic)
+    del text
+    release()  # the driver has other work to do
+    return model
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
