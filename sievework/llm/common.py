@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -96,6 +97,7 @@ def shuffle_partitions(df: DataFrame) -> int:
 
 def release() -> None:
     """Gives freed memory back to the system, as idle workers stay beside the JVM for a while."""
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

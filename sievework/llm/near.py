@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, slices, split_words, without_keys
+from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, slices, split_words, without_keys
 
 SHINGLE, SHARE = 3, 85
 #: At similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of about 2e-9.
@@ -184,6 +184,7 @@ def candidates(share: int):  # noqa: ANN201
                 yield _pairs(a, b, tokens)
                 a, b, tokens, held = [], [], [], 0
         yield _pairs(a, b, tokens)
+        release()
 
     return find
 
@@ -203,6 +204,7 @@ def unsettled(share: int):  # noqa: ANN201
                 meets[k] |= len(hit) > 0
             if meets.any():
                 yield pa.RecordBatch.from_arrays([pa.array(cid[meets]), pa.array(comp[meets])], ["cid", "comp"])
+        release()
 
     return find
 
@@ -269,7 +271,8 @@ def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
 
 def confirmed(pairs: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    sets = full_sets(cut(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()), docs, size)
+    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
+    sets = full_sets(cut(ends.distinct()), docs, size)
     both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
     rows = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))

@@ -27,13 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, cut, encoded, slices
+from .common import bounded, cut, encoded, release, slices
 
 CAPACITY, END_ID = 4096, 2
 #: Distinct stems whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
 #: Text bytes that are read in one step.
-STEP_BYTES = 10 << 20
+STEP_BYTES = 4 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
 
 
@@ -79,24 +79,25 @@ class Ids:
     special token's string go to the tokenizer whole.
     """
 
-    def __init__(self, definition: str):
+    def __init__(self, definition: str, kept: int = KEPT_WORDS):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
+        self.kept = kept
         self.special = sorted({t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()})
         self._clear()
 
     def _clear(self) -> None:
-        self.store = Store(2 * KEPT_WORDS)
+        self.store = Store(2 * self.kept)
         self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
 
     def _slots(self, names: pa.Array) -> np.ndarray:
         """Places of the names' ids."""
-        if len(self.sizes) + len(names) > KEPT_WORDS:
+        if len(self.sizes) + len(names) > self.kept:
             self._clear()
         names = names.to_pylist()
         a, b = np.frombuffer(b"".join([xxhash.xxh3_128_digest(w) for w in names]), np.uint64).reshape(-1, 2).T
-        if len(names) > KEPT_WORDS:  # a step with more stems than are kept
+        if len(names) > self.kept:  # a step with more stems than are kept
             self.store = Store(2 * len(names))
         slots = self.store.find(a, b)
         new = np.flatnonzero(slots < 0)
@@ -138,9 +139,13 @@ class Ids:
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
         stems, ends = self._chunks(names)
         slots = np.stack([stems[codes], ends[codes]], 1).ravel()
-        sizes, firsts = self.sizes[slots].astype(np.int64), self.starts[slots]
-        upto = np.cumsum(sizes)
-        ids = self.flat[np.repeat(firsts - upto + sizes, sizes) + np.arange(upto[-1])]
+        sizes = self.sizes[slots]
+        upto = np.cumsum(sizes, dtype=np.int64)
+        places = np.repeat((self.starts[slots] - upto + sizes).astype(np.int32), sizes)  # some million ids at most
+        del slots, sizes
+        places += np.arange(len(places), dtype=np.int32)
+        ids = self.flat[places]
+        del places
         stops = np.concatenate([[0], upto])[2 * np.cumsum(n_words)]
         counts = np.diff(stops, prepend=0)
         whole = np.zeros(len(text), bool)
@@ -160,14 +165,14 @@ _TIMERS: list[threading.Timer] = []
 IDLE_S = 8
 
 
-def maker_of(definition: str) -> Ids:
+def maker_of(definition: str, kept: int = KEPT_WORDS) -> Ids:
     """The worker's store of ids; a worker that gets no further task soon gives its memory back (see ``rest``)."""
     while _TIMERS:
         _TIMERS.pop().cancel()
-    key = hashlib.sha256(definition.encode()).hexdigest()
+    key = f"{hashlib.sha256(definition.encode()).hexdigest()} {kept}"
     if key not in _MAKERS:
         _MAKERS.clear()
-        _MAKERS[key] = Ids(definition)
+        _MAKERS[key] = Ids(definition, kept)
     return _MAKERS[key]
 
 
@@ -245,13 +250,14 @@ class Places:
         return sequences, offsets
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, kept: int = KEPT_WORDS, step: int = STEP_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens of every piece, and its rank among those of its length in its partition."""
     shared = docs.sparkSession.sparkContext.broadcast(Path(tokenizer).read_text("utf-8"))
 
     def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        maker, seen, part = maker_of(shared.value), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
-        for rows in slices(batches, most=STEP_BYTES):
+        release()  # what an earlier stage left in this worker
+        maker, seen, part = maker_of(shared.value, kept), np.zeros(capacity + 1, np.int64), TaskContext.get().partitionId()
+        for rows in slices(batches, most=step):
             ids, counts = maker.of(rows.column("text"))
             ends = np.cumsum(counts)
             full = np.insert(ids, ends, np.uint32(end_id)).astype("<u4")
@@ -278,14 +284,15 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     return bounded(docs).select("doc_id", "text").mapInArrow(cut_up, f"doc_id {kind}, {PIECES}")
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, kept: int = KEPT_WORDS, step: int = STEP_BYTES) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece of ``docs`` (doc_id, text).
 
     tokenizer: path, on the driver, of the tokenizer's definition, which is broadcast (its size is fixed).
+    kept, step: distinct stems whose ids a worker keeps, and text bytes of one step; memory against time.
     The pieces are written once, without their ids; the plan is made on the driver from at most
     ``capacity`` counts, and is broadcast.
     """
-    made = cut(pieces(docs, tokenizer, capacity, end_id))
+    made = cut(pieces(docs, tokenizer, capacity, end_id, kept, step))
     by_part = made.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     by_part = by_part.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
