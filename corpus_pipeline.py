@@ -30,7 +30,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, WORD_BPE)
+    # the executors' memory still holds what earlier stages left, so less is kept here
+    return packing.pack(docs, WORD_BPE, kept=500_000, step=2 << 20)
 
 
 STAGES = [
