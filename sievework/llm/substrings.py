@@ -28,7 +28,7 @@ from .common import GOLD, Bits, bounded, cut, encoded, mix, pair_hash, slices, s
 
 WINDOW, ANCHOR = 35, 8
 #: Rows of the sketch, its cells a row for each anchor that is to be expected, and its most cells a row.
-DEPTH, CELLS_EACH, MOST_CELLS = 2, 8, 1 << 27
+DEPTH, CELLS_EACH, MOST_CELLS = 2, 8, 1 << 28
 BLOCK = 1 << 18
 #: Windows that a task groups by itself before it sends them.
 FLUSH = 250_000
