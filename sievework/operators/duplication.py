@@ -23,13 +23,22 @@ def word_tokens(files: DataFrame) -> DataFrame:
     return rows.groupBy("path").agg(F.transform(F.sort_array(F.collect_list(one)), lambda t: F.struct(t["line"].alias("line"), t["value"].alias("value"))).alias("tokens"))
 
 
-def windows(files: DataFrame, size: int = WINDOW_TOKENS) -> DataFrame:
-    """path, pos, start_line, end_line and hash of every run of ``size`` tokens; files hold their tokens in an array."""
+def windows(files: DataFrame, size: int = WINDOW_TOKENS, digest: bool = False) -> DataFrame:
+    """path, pos, start_line, end_line and hash of every run of ``size`` tokens; files hold their tokens in an array.
+
+    hash: two 64-bit hashes of the tokens' hashes, which are made once a token; or, with ``digest``, SHA-256 of the tokens.
+    """
     starts = F.when(F.size("tokens") >= size, F.sequence(F.lit(0), F.size("tokens") - size)).otherwise(F.array().cast("array<int>"))
-    rows = files.withColumn("pos", F.explode(starts))
-    run = F.slice("tokens", F.col("pos") + 1, size)
-    digest = F.sha2(F.array_join(F.transform(run, lambda t: t["value"]), "\x1f"), 256)
-    return rows.select("path", "pos", F.get(run, F.lit(0))["line"].alias("start_line"), F.get(run, F.lit(size - 1))["line"].alias("end_line"), digest.alias("hash"))
+    if digest:
+        run = F.slice("tokens", F.col("pos") + 1, size)
+        key = F.sha2(F.array_join(F.transform(run, lambda t: t["value"]), "\x1f"), 256)
+        rows = files.withColumn("pos", F.explode(starts))
+    else:
+        rows = files.withColumn("hashes", F.transform("tokens", lambda t: F.xxhash64(t["value"]))).withColumn("pos", F.explode(starts))
+        run = F.slice("hashes", F.col("pos") + 1, size)
+        key = F.struct(F.xxhash64(run).alias("a"), F.xxhash64(F.lit(7), run).alias("b"))
+    line = lambda k: F.get("tokens", F.col("pos") + k)["line"]
+    return rows.select("path", "pos", line(0).alias("start_line"), line(size - 1).alias("end_line"), key.alias("hash"))
 
 
 def window_groups(found: DataFrame) -> DataFrame:

@@ -119,11 +119,11 @@ v AS (SELECT * FROM w WHERE pos + {WINDOW} <= total)"""
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.windows(_tokens(spark, sf_dir), WINDOW).groupBy("path").agg(F.count(F.lit(1)).alias("windows"), F.min("hash").alias("least_hash"))
+    return duplication.windows(_tokens(spark, sf_dir), WINDOW, digest=True).groupBy("path").agg(F.count(F.lit(1)).alias("windows"), F.min("hash").alias("least_hash"))
 
 
 def dup_window_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.window_groups(duplication.windows(_tokens(spark, sf_dir), WINDOW))
+    return duplication.window_groups(duplication.windows(_tokens(spark, sf_dir), WINDOW, digest=True))
 
 
 def dup_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
