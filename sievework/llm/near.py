@@ -3,6 +3,7 @@
 Every document is a set of word shingles with a signature of K coordinates. Two sets that are similar
 enough agree in at least MATCHES of the coordinates, but for a chance below one in a hundred million;
 so they agree in at least one of the first K - MATCHES + 1, and only these prefix coordinates are posted.
+MATCHES depends on the similarity that is asked for.
 Under each coordinate-value pair, collisions over all coordinates are counted, skipping documents whose
 sizes alone rule a link out, and pairs with enough of them become candidates. Candidates are confirmed on
 their full sets.
@@ -35,14 +36,25 @@ from pyspark.sql import functions as F
 from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, slices, split_words, without_keys
 
 SHINGLE, SHARE = 3, 85
-#: At similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of about 2e-9.
-K, MATCHES = 48, 24
-PREFIX = K - MATCHES + 1
+#: By the least share that they hold for: at similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of
+#: about 2e-9, and at 0.8 in fewer than 21 with one of about 6e-9.
+K, MATCHES = 48, {85: 24, 80: 21}
 #: Posting lists up to this length are compared pair by pair at once.
 SHORT = 12
 FACTORS = mix(np.arange(1, K + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
 
+def matches(share: int) -> int:
+    """In how many coordinates documents of this similarity agree."""
+    if share < min(MATCHES):
+        raise ValueError("the number of matches is chosen for similarities of 0.8 or more")
+    return MATCHES[max(s for s in MATCHES if s <= share)]
+
+
+def prefix(share: int) -> int:
+    return K - matches(share) + 1
+
+
 def shingle_sets(text: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
     """The ascending distinct shingle hashes of each row."""
     words, counts = split_words(pc.ascii_lower(text))
@@ -73,15 +85,16 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return mix(low + np.arange(K, dtype=np.uint64) * GOLD)
 
 
-def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+def described(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataFrame:
     """doc_id, n (set size), k1 and k2 (hash of the set), sig (8 bits a coordinate) and post (values of the prefix)."""
+    posted = prefix(share)
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             sets = shingle_sets(rows.column("text"), size)
             keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64).reshape(-1, 2)
             signs = np.stack([signature(s) for s in sets]) if sets else np.zeros((0, K), np.uint64)
-            post = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * PREFIX), pa.array(np.ascontiguousarray(signs[:, :PREFIX]).view(np.int64).ravel()))
+            post = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1, dtype=np.int32) * posted), pa.array(np.ascontiguousarray(signs[:, :posted]).view(np.int64).ravel()))
             yield pa.RecordBatch.from_arrays(
                 [rows.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([x.tobytes() for x in (signs >> np.uint64(56)).astype(np.uint8)], pa.binary()), post],
                 ["doc_id", "n", "k1", "k2", "sig", "post"],
@@ -90,15 +103,15 @@ def described(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, sig binary, post array<bigint>")
 
 
-def postings(nodes: DataFrame, live: Bits) -> DataFrame:
+def postings(nodes: DataFrame, live: Bits, share: int) -> DataFrame:
     """token, cid, n, sig: a row for each posted value that may be among the live ones."""
-    shared = nodes.sparkSession.sparkContext.broadcast(live)
+    shared, posted = nodes.sparkSession.sparkContext.broadcast(live), prefix(share)
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             token = rows.column("post").flatten().to_numpy()
             kept = np.flatnonzero(shared.value.has_plain(token))
-            of = pa.array(kept // PREFIX)
+            of = pa.array(kept // posted)
             yield pa.RecordBatch.from_arrays([pa.array(token[kept]), *(rows.column(c).take(of) for c in ("cid", "n", "sig"))], ["token", "cid", "n", "sig"])
 
     return nodes.mapInArrow(post, "token long, cid long, n long, sig binary")
@@ -155,13 +168,14 @@ def _near_in_size(n: np.ndarray, size: int, share: int) -> np.ndarray:
 
 def candidates(share: int):  # noqa: ANN201
     """Pairs of short lists, pairs with leaders of long ones, and the tokens of the latter."""
+    least = matches(share)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b, tokens, held = [], [], [], 0
         for rows in posting_lists(batches):
             cid, n, sig = rows["cid"], rows["n"], rows["sig"]
             if len(cid) <= SHORT:
-                agree = (sig[:, None, :] == sig[None, :, :]).sum(2) >= MATCHES
+                agree = (sig[:, None, :] == sig[None, :, :]).sum(2) >= least
                 x, y = np.nonzero(np.triu(agree, 1) & (100 * n[:, None] >= share * n[None, :]))
                 a.append(cid[x])
                 b.append(cid[y])
@@ -172,7 +186,7 @@ def candidates(share: int):  # noqa: ANN201
                 signs, sizes = np.empty_like(sig), np.empty_like(n)
                 for k in _toward_mode(sig).tolist():
                     fit = np.flatnonzero(_near_in_size(sizes[:m], int(n[k]), share))
-                    hit = fit[(signs[fit] == sig[k]).sum(1) >= MATCHES]
+                    hit = fit[(signs[fit] == sig[k]).sum(1) >= least]
                     if len(hit):
                         a.append(np.full(len(hit), cid[k]))
                         b.append(cid[heads[hit]])
@@ -191,6 +205,7 @@ def candidates(share: int):  # noqa: ANN201
 
 def unsettled(share: int):  # noqa: ANN201
     """The documents of long lists that collide often enough with one of another component."""
+    least = matches(share)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in posting_lists(batches):
@@ -199,7 +214,7 @@ def unsettled(share: int):  # noqa: ANN201
             meets = np.zeros(len(cid), bool)
             for k in np.flatnonzero(of != sizes.argmax()).tolist():  # the largest component's rows are met from the others' side
                 others = np.flatnonzero((of != of[k]) & _near_in_size(n, int(n[k]), share))
-                hit = others[(sig[others] == sig[k]).sum(1) >= MATCHES]
+                hit = others[(sig[others] == sig[k]).sum(1) >= least]
                 meets[hit] = True
                 meets[k] |= len(hit) > 0
             if meets.any():
@@ -300,25 +315,23 @@ def components(links: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
-    share: documents are linked if 100 times their sets' intersection is at least ``share`` times their union; at least 85.
+    share: documents are linked if 100 times their sets' intersection is at least ``share`` times their union; at least 80.
     """
-    if share < 85:
-        raise ValueError("the number of matches is chosen for similarities of 0.85 or more")
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = cut(described(docs, size))
+    rows = cut(described(docs, size, share))
     classes = cut(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("post").alias("post")))
     # sets of fewer shingles are linked with equal ones only
     nodes = classes.where(F.col("cid").isNotNull() & (F.col("n") * (100 - share) >= share)).select("cid", "n", "sig", "post")
     tokens = nodes.select(F.explode("post").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     tokens = cut(tokens)
-    posted = postings(nodes, Bits.of(tokens, "token", tokens.count(), most_bits=1 << 27, plain=True))
+    posted = postings(nodes, Bits.of(tokens, "token", tokens.count(), most_bits=1 << 27, plain=True), share)
     found = cut(posted.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(candidates(share), "a long, b long, long_list long"))
     pairs = found.where("a IS NOT NULL AND a != b").select("a", "b").distinct()
     links = confirmed(pairs, docs, share, size)
     long_lists = cut(found.where("long_list IS NOT NULL").select(F.col("long_list").alias("token")).distinct())
     if not long_lists.isEmpty():
         joined = components(links)
-        again = postings(nodes, Bits.of(long_lists, "token", long_lists.count(), plain=True)).join(long_lists, "token", "left_semi")
+        again = postings(nodes, Bits.of(long_lists, "token", long_lists.count(), plain=True), share).join(long_lists, "token", "left_semi")
         again = cut(again.join(joined, F.col("cid") == F.col("node"), "left").select("cid", "n", "sig", "token", F.coalesce("comp", "cid").alias("comp")))
         mixed = again.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
         again = again.join(mixed, "token", "left_semi")
@@ -333,10 +346,16 @@ def near_components(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) ->
     return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) -> DataFrame:
+def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE, *more: tuple[int, int]) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others), one document of each component, with all their columns.
 
+    more: further rules (share, size); documents that any of the rules links are in one component then.
     An identifier stays if any row with it is kept; rows without an identifier stay.
     """
-    found = cut(near_components(docs, share, size).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select("doc_id"))
-    return without_keys(docs.withColumn("_id", F.col("doc_id").cast("long")), found.withColumnRenamed("doc_id", "_id"), "_id").drop("_id")
+    ways = None
+    for rule in ((share, size), *more):
+        named = near_components(docs, *rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("stays"), F.min("component_id").alias("comp"))
+        named = cut(named.where("NOT stays").select("doc_id", "comp"))
+        ways = ways.unionByName(named) if ways else named
+    found = components(ways.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))) if more else ways.withColumnRenamed("doc_id", "node")
+    return without_keys(docs.withColumn("_id", F.col("doc_id").cast("long")), found.select(F.col("node").alias("_id")), "_id").drop("_id")

@@ -380,6 +380,24 @@ def test_near_queries_and_odd_tables(spark, small, odd, empty):  # noqa: ANN001
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, _ in ODD if i not in (2, None))
 
 
+def test_the_pipeline_removes_copies_by_either_rule(spark):  # noqa: ANN001
+    pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(3)
+    fresh = lambda n: [f"v{random.randrange(10**9)}" for _ in range(n)]
+    base, other = fresh(200), fresh(200)
+    block = base[:90] + fresh(17) + base[107:]  # five words 0.81, three words 0.83
+    scattered = [w if k % 40 != 20 else "x" for k, w in enumerate(other)]  # five words 0.77, three words 0.86
+    joint = block[:10] + fresh(17) + block[27:]  # a copy of the second document only
+    far = base[:90] + fresh(30) + base[120:]
+    rows = [(i, " ".join(w)) for i, w in enumerate([base, block, other, scattered, joint, far])]
+    kept = lambda *rules: sorted(r["doc_id"] for r in near.without_near_copies(docs_of(spark, rows), *rules).collect())
+    assert kept() == [0, 1, 2, 4, 5] and kept(80, 5) == [0, 2, 3, 5]
+    assert sorted(r["doc_id"] for r in pipeline.remove_near_copies(spark, docs_of(spark, rows), SMALL).collect()) == [0, 2, 5]
+    assert near.matches(80) < near.matches(85) == near.matches(95)
+    with pytest.raises(ValueError, match="matches"):
+        near.near_components(docs_of(spark, rows), share=79)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_stars_find_components(spark, links):  # noqa: ANN001
