@@ -7,8 +7,10 @@ are stretched by inserted characters, hyphens or spaces stay close to their plai
 by the length of their occurrence weights.
 
 Training sees labelled rows with crc32(doc_id as text) mod 3 other than 1, at most TOXIC toxic and CLEAN
-other documents, taken in the order of a hash of their identifiers, up to SAMPLE_BYTES of text: a bound that doesn't
-grow with the corpus. Character runs that toxic documents hold far more often name the first toxic
+other documents, taken in the order of a hash of their identifiers: a bound that doesn't grow with the
+corpus. Texts over LONGEST bytes are left out, and of rows that share an identifier the one with the smallest
+text is taken; the next documents in the order take their places. Each class has a bound of
+SAMPLE_BYTES of text of its own, so neither one text nor one identifier nor the other class shuts documents out. Character runs that toxic documents hold far more often name the first toxic
 units; units of clean documents are the others, and the worst mistaken ones are added in rounds. The
 machine works on Nyström features of LANDMARKS units. As it is linear in subsequence counts, landmarks
 and weights fold into one table of subsequence weights, so that scoring a unit takes a few lookups a
@@ -36,7 +38,8 @@ from pyspark.sql.types import DoubleType
 
 from .common import bounded, encoded, release, slices, split_words
 
-TOXIC, CLEAN, SAMPLE_BYTES = 1200, 3600, 12 << 20
+#: Documents, bytes of text of each class, and bytes of one text.
+TOXIC, CLEAN, SAMPLE_BYTES, LONGEST = 1200, 3600, 12 << 20, 256 << 10
 LANDMARKS, ROUNDS = 160, 4
 SPAN, DECAY = 6, 0.6
 THRESHOLD = 0.7
@@ -263,14 +266,16 @@ def _fold(names: pa.Array, bad: np.ndarray, good: np.ndarray, in_toxic: np.ndarr
     return Model(table, float(w[-1]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES) -> pa.Table:
-    """text and toxic of the labelled rows that are trained on."""
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> pa.Table:
+    """text and toxic of the labelled documents that are trained on."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.pmod(_crc("doc_id"), F.lit(3)) != 1).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+    fit_in = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.octet_length("text") <= longest)
+    known = known.join(fit_in.select("doc_id").distinct(), "doc_id", "left_semi")
     order = F.xxhash64("doc_id")
     taken = known.where("toxic").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("NOT toxic").orderBy(order, "doc_id").limit(clean))
-    rows = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(taken), "doc_id")  # at most toxic + clean rows
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy(order, "doc_id", "text").select("text", "toxic").toArrow()
+    rows = fit_in.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most toxic + clean rows
+    so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy(order, "doc_id").select("text", "toxic").toArrow()
 
 
 def _crc(column: str) -> Column:

@@ -569,6 +569,24 @@ def test_odd_tables_are_scored(spark, toxic, odd, empty):  # noqa: ANN001
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_no_text_identifier_or_class_shuts_out_the_sample(spark, toxic):  # noqa: ANN001
+    docs, labels, _ = toxic
+    whole = toxicity.sample(docs, labels)
+    assert whole.num_rows == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(900)) and 0 < sum(whole["toxic"].to_pylist()) < whole.num_rows
+    trained_on = [i for i in range(900, 1200) if zlib.crc32(str(i).encode()) % 3 != 1]
+    first = spark.createDataFrame([(i,) for i in trained_on], "doc_id long").orderBy(F.xxhash64("doc_id")).first()[0]  # leads the order of the new identifiers
+    huge = spark.createDataFrame([(first, "huge word " * 1_300_000)], "doc_id long, text string")
+    more = labels.unionByName(spark.createDataFrame([(first, 1, 0)], labels.schema))
+    assert toxicity.sample(docs.unionByName(huge), more).num_rows == whole.num_rows
+    often = spark.range(200).select(F.lit(first).alias("doc_id"), F.repeat(F.lit("often word "), 9000).alias("text"))
+    assert toxicity.sample(docs.unionByName(often), more).num_rows == whole.num_rows + 1
+    # the other class's bound and texts that don't count take no places
+    few = toxicity.sample(docs, labels, most_bytes=sum(len(t) for t, y in zip(whole["text"].to_pylist(), whole["toxic"].to_pylist(), strict=True) if y))
+    assert sum(few["toxic"].to_pylist()) == sum(whole["toxic"].to_pylist()) and few.num_rows < whole.num_rows
+    absent = labels.unionByName(spark.createDataFrame([(i, 1, 1) for i in range(2000, 4000)], labels.schema))
+    assert toxicity.sample(docs, absent, toxic=50, clean=50).num_rows == 100
+
+
 # the pipeline
 
 
