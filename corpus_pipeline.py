@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievework.llm import exact, mixing, near, packing, toxicity
-from sievework.llm.common import read, written
+from sievework.llm.common import discard, read, written
 from sievework.llm.queries import WORD_BPE
 
 
@@ -49,9 +49,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of the packed corpus; each stage's documents are written to the shared folder and read again."""
-    docs = read(spark, sf_dir, "documents")
+    docs, before = read(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = written(docs)
+            docs, path = written(docs)
+            if before:
+                discard(spark, before)
+            before = path
     return docs

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructType
 
@@ -44,51 +44,80 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the cluster's shared checkpoint folder and reads on from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    The folder is ``spark.checkpoint.dir``; only a session that names none (a test) gets one of its own.
+    A session on one machine that names none (a test) gets a temporary one; on a cluster that is an error.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="sievework-"))
+    return sc.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Writes ``df`` to the cluster's shared checkpoint folder and reads on from there."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as Parquet in the shared checkpoint folder, read again; for frames with whole texts."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
-    path = f"{sc.getCheckpointDir()}/written-{uuid.uuid4().hex}"
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as Parquet in the shared checkpoint folder, read again, and its path; for frames with whole texts."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes what ``written`` wrote; nothing may read it later."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Names for temporary columns that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        name, k = f"_{stem}", 0
+        while name.lower() in taken:
+            name, k = f"_{stem}_{k}", k + 1
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
-def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:
-    """The rows of ``df`` whose ``key`` (a long; null stays) isn't among those of ``gone``.
+def without_keys(df: DataFrame, gone: DataFrame, key: list[Column]) -> DataFrame:
+    """The rows of ``df`` whose ``key`` (expressions over its columns; rows with a null part stay) isn't a row of ``gone``.
 
     A filter over the keys, of bounded size, lets most rows pass without a shuffle; the others are held
-    against the keys themselves.
+    against the keys themselves. Beyond some three million keys the filter lets ever more rows through to
+    the join, which shuffles them whole.
     """
     df = bounded(df)
-    gone = cut(gone.select(F.col(key).alias("_gone")).distinct())
+    names = fresh(df, *(f"key{k}" for k in range(len(key))))
+    may, *spots = fresh(df, "may", *(f"place{k}" for k in range(len(Bits.SALTS))))
+    gone = cut(gone.toDF(*names).distinct())
     count = gone.count()
     if not count:
         return df
-    shared = df.sparkSession.sparkContext.broadcast(Bits.of(gone, "_gone", count))
+    (one,) = fresh(df, "hash")
+    shared = df.sparkSession.sparkContext.broadcast(Bits.of(gone.select(F.xxhash64(*names).alias(one)), one, count))
     columns = df.columns
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            known = rows.column(key).is_valid().to_numpy(zero_copy_only=False)
-            may = shared.value.has([rows.column(c).to_numpy() for c in ("_p0", "_p1")]) & known
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(may)], [*columns, "_may"])
-
-    asked = df.withColumns({f"_p{i}": p for i, p in enumerate(shared.value.places(key))})
-    marked = asked.mapInArrow(mark, StructType([*df.schema.fields]).add("_may", BooleanType()))
-    unsure = marked.where("_may").drop("_may").join(gone, F.col(key) == F.col("_gone"), "left_anti")
-    return marked.where("NOT _may").drop("_may").unionByName(unsure)
+            hit = shared.value.has([rows.column(c).to_numpy() for c in spots])
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in columns), pa.array(hit)], [*columns, may])
+
+    asked = df.withColumn(one, F.xxhash64(*key)).withColumns(dict(zip(spots, shared.value.places(one), strict=True)))
+    marked = asked.drop(one).mapInArrow(mark, StructType([*df.schema.fields]).add(may, BooleanType()))
+    unsure = marked.where(F.col(may)).drop(may).withColumns(dict(zip(names, key, strict=True)))
+    kept = unsure.join(gone, names, "left_anti").select(*("`" + c.replace("`", "``") + "`" for c in columns))
+    return marked.where(~F.col(may)).drop(may).unionByName(kept)
 
 
 def shuffle_partitions(df: DataFrame) -> int:

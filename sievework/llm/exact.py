@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Bits, bounded, cut, slices, without_keys
+from .common import Bits, bounded, cut, fresh, slices, without_keys
 
 MEMTABLE, FANOUT = 8192, 4
 #: Stands for a null identifier: after all others.
@@ -186,21 +186,29 @@ def exact_groups(docs: DataFrame, keep: str = "smallest", digest: Callable[[byte
 def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others), one of each group of equal texts, with all their columns.
 
-    Rows are told apart by identifier and digest; of repeated rows the smallest by its columns stays.
+    Rows are told apart by identifier and digest; of repeated rows the first by its columns (as JSON) stays.
     """
     found = cut(exact_groups(docs, keep).where("group_size > 1").select("doc_id", "text_sha256", "kept"))
-    pair = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.col("doc_id").isNull(), "text_sha256").alias("_pair")
-    many = found.groupBy(pair).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n")).where("NOT stays OR n > 1")
-    many = cut(many)
+    null, known = F.col("doc_id").isNull(), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1).cast("long"))
+    many = found.groupBy(null.alias("none"), known.alias("known"), "text_sha256").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    many = cut(many.where("NOT stays OR n > 1"))
     text = F.translate(F.coalesce("text", F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    own = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.col("doc_id").isNull(), F.sha2(text, 256))
-    rows = docs.withColumn("_pair", own)
-    single = without_keys(rows, many, "_pair").drop("_pair")
-    repeated = cut(many.where("stays").select("_pair"))
+    key = [null, known, F.sha2(text, 256)]
+    single = without_keys(docs, many.select("none", "known", "text_sha256"), key)
+    repeated = cut(many.where("stays").select("none", "known", "text_sha256"))
     if repeated.isEmpty():
         return single
-    one = rows.join(repeated, "_pair", "left_semi").groupBy("_pair").agg(F.min(F.struct(*docs.columns)).alias("r"))
-    return single.unionByName(one.select("r.*"))
+    # of rows with one identifier and text, the first by its JSON stays: columns of any type, maps too, have one
+    names = fresh(docs, "none", "known", "digest")
+    rows = docs.withColumns(dict(zip(names, key, strict=True))).join(repeated.toDF(*names), names, "left_semi")
+    order, whole = fresh(rows, "order", "whole")
+    rows = rows.withColumn(order, F.to_json(F.struct(*(_quoted(c) for c in docs.columns)), {"ignoreNullFields": "false"}))
+    one = rows.groupBy(*names).agg(F.min_by(F.struct(*(_quoted(c) for c in docs.columns)), order).alias(whole))
+    return single.unionByName(one.select(*(F.col(whole).getField(c).alias(c) for c in docs.columns)))
+
+
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
 
 
 def _collisions(docs: DataFrame, hits: DataFrame, normal: Callable, digest: Callable) -> DataFrame | None:

@@ -5,15 +5,16 @@ enough agree in at least MATCHES of the coordinates, but for a chance below one
 so they agree in at least one of the first K - MATCHES + 1, and only these prefix coordinates are posted.
 MATCHES depends on the similarity that is asked for.
 Under each coordinate-value pair, collisions over all coordinates are counted, skipping documents whose
-sizes alone rule a link out, and pairs with enough of them become candidates. Candidates are confirmed on
-their full sets.
+sizes alone rule a link out. Candidates are confirmed on their full sets.
 
-Equal sets are one class from the start. In a long posting list, documents are at first compared only with
-leaders (documents that agreed with no leader before them, those in the middle of the list first), so that
-a large group of near copies gives about as many pairs as it has documents. Once these are confirmed and
-joined into components, documents of long lists that still collide with another component are settled by
-an exact prefix join on their full sets, again for pairs of different components only: no link that
-could join two components is lost, and the pairs within a component are never listed. Components are found by alternating large and small stars.
+Equal sets are one class from the start. Pairs within a component are never listed: of all that agree
+with it often enough, every document proposes its best match only; what is confirmed joins components;
+and in the next round each proposes its best match in another component that it hasn't tried. So a round
+has at most one pair a document. Documents that still agree with another component after the rounds by
+signature are settled by an exact prefix join on their full sets, in rounds of the same kind, until a round
+joins nothing; the few pairs that are left are then confirmed all at once, so no link that could join two
+components is lost. Long lists are dealt to blocks, and only pairs of blocks meet in a task.
+Components are found by alternating large and small stars.
 
 Defined results: words are lower-cased in A-Z only; a text with fewer words than a shingle is one shingle;
 null and empty texts have an empty set and are linked with nothing; rows with equal sets are linked;
@@ -24,14 +25,15 @@ columns besides doc_id and text are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, slices, split_words, without_keys
 
@@ -39,8 +41,14 @@ SHINGLE, SHARE = 3, 85
 #: By the least share that they hold for: at similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of
 #: about 2e-9, and at 0.8 in fewer than 21 with one of about 6e-9.
 K, MATCHES = 48, {85: 24, 80: 21}
-#: Posting lists up to this length are compared pair by pair at once.
-SHORT = 12
+#: Longer lists are dealt to blocks of about so many rows, and pairs of blocks meet in a task.
+BLOCK = 2048
+#: Rows that are compared with the rest of a block at once.
+STEP = 256
+#: How often documents look for a partner in another component by signatures, after the first time.
+SIGNATURE_ROUNDS = 1
+#: How well rows of a list fit each other; 0: not at all.
+Score = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 FACTORS = mix(np.arange(1, K + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
 
 
@@ -103,45 +111,75 @@ def described(docs: DataFrame, size: int = SHINGLE, share: int = SHARE) -> DataF
     return docs.mapInArrow(describe, "doc_id long, n long, k1 long, k2 long, sig binary, post array<bigint>")
 
 
-def postings(nodes: DataFrame, live: Bits, share: int) -> DataFrame:
-    """token, cid, n, sig: a row for each posted value that may be among the live ones."""
-    shared, posted = nodes.sparkSession.sparkContext.broadcast(live), prefix(share)
+def postings(nodes: DataFrame, live: Bits, crowded: Bits, share: int) -> DataFrame:
+    """token, long and the columns of ``nodes`` but post: a row for each posted value that may be among the live ones.
+
+    long: whether the value may be among the crowded ones.
+    """
+    shared, posted = nodes.sparkSession.sparkContext.broadcast((live, crowded)), prefix(share)
+    carried = nodes.drop("post")
+    names = carried.columns
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        alive, many = shared.value
         for rows in batches:
             token = rows.column("post").flatten().to_numpy()
-            kept = np.flatnonzero(shared.value.has_plain(token))
-            of = pa.array(kept // posted)
-            yield pa.RecordBatch.from_arrays([pa.array(token[kept]), *(rows.column(c).take(of) for c in ("cid", "n", "sig"))], ["token", "cid", "n", "sig"])
+            kept = np.flatnonzero(alive.has_plain(token))
+            token, of = token[kept], pa.array(kept // posted)
+            columns = [pa.array(token), pa.array(many.has_plain(token)), *(rows.column(c).take(of) for c in names)]
+            yield pa.RecordBatch.from_arrays(columns, ["token", "long", *names])
+
+    kinds = StructType().add("token", "long").add("long", "boolean")
+    return nodes.mapInArrow(post, StructType([*kinds.fields, *carried.schema.fields]))
+
 
-    return nodes.mapInArrow(post, "token long, cid long, n long, sig binary")
+def in_blocks(rows: DataFrame, count: Column) -> DataFrame:
+    """``rows`` (token, cid, ...) with x and y: a list of ``count`` rows is dealt to blocks, and each row sent to
+    every pair (x, y) of blocks that its own, ``block``, is in, so that no task holds a long list."""
+    blocks = F.ceil(count / BLOCK).cast("int")
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("cid"), blocks).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return met.select(
+        *rows.columns, "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")
+    )
 
 
-def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of each token that has several, from rows sorted by token."""
+def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The rows of each (token, x, y) that has several, from rows sorted by these."""
     held: list[pa.RecordBatch] = []
 
+    def starts_of(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+        changes = np.zeros(rows.num_rows, bool)
+        for c in ("token", "x", "y"):
+            values = rows.column(c).to_numpy()
+            changes[1:] |= values[1:] != values[:-1]
+        changes[0] = True
+        return np.flatnonzero(changes)
+
     def groups(rows: pa.Table) -> Iterator[dict[str, np.ndarray]]:
-        token = rows["token"].to_numpy()
-        starts = np.flatnonzero(np.diff(token, prepend=token[:1] - 1))
-        ends = np.append(starts[1:], len(token))
-        several = ends - starts > 1
+        starts = starts_of(rows)
+        sizes = np.diff(starts, append=rows.num_rows)
+        several = sizes > 1
         if not several.any():
             return
-        keep = np.repeat(several, ends - starts)
-        rows = rows.filter(pa.array(keep))
-        flat = {c: rows[c].to_numpy() for c in rows.column_names if c != "sig"}
-        flat["sig"] = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, K)
-        sizes = (ends - starts)[several]
+        rows = rows.filter(pa.array(np.repeat(several, sizes)))
+        flat = {c: rows[c].to_numpy() for c in rows.column_names if c not in ("sig", "tried")}
+        if "sig" in rows.column_names:
+            flat["sig"] = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, K)
+        if "tried" in rows.column_names:
+            flat["tried"] = np.fromiter(rows["tried"].to_pylist(), object, rows.num_rows)
+        sizes = sizes[several]
         for stop, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-            yield {c: x[stop - n : stop] for c, x in flat.items()}
+            yield {c: v[stop - n : stop] for c, v in flat.items()}
+
+    def key(batch: pa.RecordBatch, at: int) -> tuple:
+        return tuple(batch.column(c)[at].as_py() for c in ("token", "x", "y"))
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        token = batch.column("token").to_numpy()
-        last = int(np.searchsorted(token, token[-1], side="left"))
-        if last or (held and held[-1].column("token")[-1].as_py() != token[0]):
+        last = int(starts_of(batch)[-1])
+        if last or (held and key(held[-1], -1) != key(batch, 0)):
             yield from groups(pa.Table.from_batches([*held, batch.slice(0, last)] if last else held))
             held = []
         held.append(batch.slice(last))
@@ -149,126 +187,118 @@ def posting_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.nd
         yield from groups(pa.Table.from_batches(held))
 
 
-def _pairs(a: list[np.ndarray], b: list[np.ndarray], token: list[int]) -> pa.RecordBatch:
-    x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (a, b))
-    nulls = pa.nulls(len(token), pa.int64())
-    columns = [pa.concat_arrays([pa.array(np.minimum(x, y)), nulls]), pa.concat_arrays([pa.array(np.maximum(x, y)), nulls]), pa.concat_arrays([pa.nulls(len(x), pa.int64()), pa.array(token, pa.int64())])]
-    return pa.RecordBatch.from_arrays(columns, ["a", "b", "long_list"])
+def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates each row of ``a`` agrees with each row of ``b``."""
+    if len(a) * len(b) <= 1024:
+        return (a[:, None, :] == b[None, :, :]).sum(2)
+    total = np.zeros((len(a), len(b)), np.uint8)
+    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        total += x[:, None] == y[None, :]
+    return total
 
 
-def _toward_mode(sig: np.ndarray) -> np.ndarray:
-    """Rows in the order of their agreement with the most frequent value of each coordinate, so that a group's middle comes first."""
-    mode = np.array([np.bincount(c).argmax() for c in sig.T], np.uint8)
-    return np.argsort(-(sig == mode).sum(1), kind="stable")
+def by_signature(share: int) -> Score:
+    """The matches of two rows of a list, where they and the sizes allow a link."""
+    least = matches(share)
 
+    def score(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        agree = agreements(rows["sig"][a], rows["sig"][b]).astype(np.int64)
+        x, y = rows["n"][a][:, None], rows["n"][b][None, :]
+        return np.where((agree >= least) & (100 * np.minimum(x, y) >= share * np.maximum(x, y)), agree, 0)
 
-def _near_in_size(n: np.ndarray, size: int, share: int) -> np.ndarray:
-    return (100 * np.minimum(n, size)) >= share * np.maximum(n, size)
+    return score
 
 
-def candidates(share: int):  # noqa: ANN201
-    """Pairs of short lists, pairs with leaders of long ones, and the tokens of the latter."""
-    least = matches(share)
+def by_prefix(share: int) -> Score:
+    """What the rest of two sets after a shared shingle can hold beyond the overlap that a link needs, plus one."""
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b, tokens, held = [], [], [], 0
-        for rows in posting_lists(batches):
-            cid, n, sig = rows["cid"], rows["n"], rows["sig"]
-            if len(cid) <= SHORT:
-                agree = (sig[:, None, :] == sig[None, :, :]).sum(2) >= least
-                x, y = np.nonzero(np.triu(agree, 1) & (100 * n[:, None] >= share * n[None, :]))
-                a.append(cid[x])
-                b.append(cid[y])
-                held += len(x)
-            else:
-                tokens.append(int(rows["token"][0]))
-                heads, m = np.zeros(len(cid), np.int64), 0
-                signs, sizes = np.empty_like(sig), np.empty_like(n)
-                for k in _toward_mode(sig).tolist():
-                    fit = np.flatnonzero(_near_in_size(sizes[:m], int(n[k]), share))
-                    hit = fit[(signs[fit] == sig[k]).sum(1) >= least]
-                    if len(hit):
-                        a.append(np.full(len(hit), cid[k]))
-                        b.append(cid[heads[hit]])
-                        held += len(hit)
-                    else:
-                        heads[m], signs[m], sizes[m] = k, sig[k], n[k]
-                        m += 1
-            if held > 50_000:
-                yield _pairs(a, b, tokens)
-                a, b, tokens, held = [], [], [], 0
-        yield _pairs(a, b, tokens)
-        release()
+    def score(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        n, left = rows["n"], rows["n"] - rows["pos"] + 1
+        spare = np.minimum(left[a][:, None], left[b][None, :]) - least_overlap(n[a][:, None], n[b][None, :], share)
+        return np.maximum(spare + 1, 0)
 
-    return find
+    return score
 
 
-def unsettled(share: int):  # noqa: ANN201
-    """The documents of long lists that collide often enough with one of another component."""
-    least = matches(share)
+def partners(score: Score, share: int, every: bool = False):  # noqa: ANN201
+    """cid, other, score: of each row of a list its best partner in another component that wasn't tried yet.
+
+    every: all such pairs instead, smaller identifier first. Rows come by size, so each is compared with a
+    run of the list only.
+    """
+
+    def allowed(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        value = score(rows, a, b)
+        value[rows["comp"][a][:, None] == rows["comp"][b][None, :]] = 0
+        if "tried" in rows:
+            for at, of, flip in ((a, b, False), (b, a, True)):
+                ids = rows["cid"][of]
+                for k in np.flatnonzero([t is not None for t in rows["tried"][at]]).tolist():
+                    hit = np.isin(ids, rows["tried"][at][k])
+                    if flip:
+                        value[hit, k] = 0
+                    else:
+                        value[k, hit] = 0
+        return value
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in posting_lists(batches):
-            cid, n, sig, comp = rows["cid"], rows["n"], rows["sig"], rows["comp"]
-            names, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-            meets = np.zeros(len(cid), bool)
-            for k in np.flatnonzero(of != sizes.argmax()).tolist():  # the largest component's rows are met from the others' side
-                others = np.flatnonzero((of != of[k]) & _near_in_size(n, int(n[k]), share))
-                hit = others[(sig[others] == sig[k]).sum(1) >= least]
-                meets[hit] = True
-                meets[k] |= len(hit) > 0
-            if meets.any():
-                yield pa.RecordBatch.from_arrays([pa.array(cid[meets]), pa.array(comp[meets])], ["cid", "comp"])
+        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def batch() -> pa.RecordBatch:
+            columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "other", "score"])
+
+        for rows in lists(batches):
+            cid, n = rows["cid"], rows["n"]
+            if (rows["comp"] == rows["comp"][0]).all():
+                continue
+            one, two = rows["block"] == rows["x"][0], rows["block"] == rows["y"][0]
+            for mine, theirs in ((one, two),) if rows["x"][0] == rows["y"][0] else ((one, two), (two, one)):
+                asked, among = np.flatnonzero(mine), np.flatnonzero(theirs)
+                for at in range(0, len(asked), STEP):
+                    a = asked[at : at + STEP]
+                    low = np.searchsorted(n[among], -(-n[a[0]] * share // 100), "left")
+                    high = np.searchsorted(n[among], n[a[-1]] * 100 // share, "right")
+                    b = among[low:high]
+                    if not len(b):
+                        continue
+                    value = allowed(rows, a, b)
+                    if every:
+                        i, j = np.nonzero(value)
+                        keep = cid[a[i]] < cid[b[j]]
+                        i, j = i[keep], j[keep]
+                    else:
+                        j = value.argmax(1)
+                        i = np.flatnonzero(value[np.arange(len(a)), j])
+                        j = j[i]
+                    if len(i):
+                        out.append((cid[a[i]], cid[b[j]], value[i, j]))
+            if sum(len(c[0]) for c in out[:64]) > 20_000 or len(out) > 4096:
+                yield batch()
+        if out:
+            yield batch()
         release()
 
     return find
 
 
-def least_overlap(x: np.ndarray | int, y: int, share: int) -> np.ndarray:
+def least_overlap(x: np.ndarray | int, y: np.ndarray | int, share: int) -> np.ndarray:
     """The intersection that sets of these sizes need to be linked."""
     return -(-(x + y) * share // (100 + share))
 
 
-def prefixed(share: int):  # noqa: ANN201
-    """Pairs of different components that share a shingle of their prefixes and can still have the overlap that a link needs."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in posting_lists(batches):
-            cid, n, comp, left = rows["cid"], rows["n"], rows["comp"], rows["n"] - rows["pos"] + 1
-            names, of, sizes = np.unique(comp, return_inverse=True, return_counts=True)
-            a, b = [], []
-            for k in np.flatnonzero(of != sizes.argmax()).tolist():
-                may = (of != of[k]) & ((of == sizes.argmax()) | (np.arange(len(cid)) < k)) & (np.minimum(left, left[k]) >= least_overlap(n, int(n[k]), share))
-                hit = np.flatnonzero(may)
-                if len(hit):
-                    a.append(np.full(len(hit), cid[k]))
-                    b.append(cid[hit])
-            if a:
-                yield _pairs(a, b, [])
-
-    return find
-
-
-def remaining_pairs(open_: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
-    """Pairs (a, b) of documents of different components that may be linked, by an exact prefix join on full sets.
-
-    open_: cid and comp of the documents that aren't settled. Shingles are ordered by how many of these
-    documents have them. Sets that are linked share one of each other's first shingles, and what follows
-    it in either set must be long enough for the overlap; so copies that differ in many rare shingles
-    meet nobody.
-    """
-    sets = full_sets(open_.select(F.col("cid").alias("k")), docs, size).join(open_, "cid")
-    each = sets.select("cid", "comp", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
-    many = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    ordered = each.join(many, "token").withColumn("pos", F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")).cast("long"))
-    first = ordered.where((F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1) & (F.col("df") > 1)).withColumn("sig", F.lit(bytes(K)))
-    found = first.select("token", "cid", "comp", "n", "pos", "sig").repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(prefixed(share), "a long, b long, long_list long")
-    return found.where("a != b").select("a", "b").distinct()
+def proposals(listed: DataFrame, score: Score, share: int) -> DataFrame:
+    """cid and other: the best partner of each document over all its lists; so at most one pair a document."""
+    dealt = listed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "cid")
+    found = dealt.mapInArrow(partners(score, share), "cid long, other long, score long")
+    best = F.max_by("other", F.struct(F.col("score"), -F.col("other")))
+    return cut(found.groupBy("cid").agg(best.alias("other")))
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """cid and s, the set, of the documents among ``ids`` (k); built again from their texts."""
-    filter_ = Bits.of(ids, "k", ids.count())
+    """cid and s, the set, of the documents among ``ids`` (cid); built again from their texts."""
+    filter_ = Bits.of(ids, "cid", ids.count())
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,20 +308,109 @@ def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
             if rows.num_rows:
                 sets = shingle_sets(rows.column("text"), size)
                 ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], ["cid", "s"])
+                flat = pa.array(np.concatenate(sets).view(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [rows.column("doc_id"), pa.ListArray.from_arrays(pa.array(ends), flat)], ["cid", "s"]
+                )
 
-    asked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *[p.alias(f"p{i}") for i, p in enumerate(filter_.places("doc_id"))])
-    return cut(asked.mapInArrow(build, "cid long, s array<bigint>").join(ids, F.col("cid") == F.col("k"), "left_semi"))
+    places = [p.alias(f"p{i}") for i, p in enumerate(filter_.places("doc_id"))]
+    asked = docs.where("doc_id IS NOT NULL").select("doc_id", "text", *places)
+    return cut(asked.mapInArrow(build, "cid long, s array<bigint>").join(ids.select("cid"), "cid", "left_semi"))
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     """The pairs (a, b) whose full sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("k")).unionByName(pairs.select(F.col("b").alias("k")))
-    sets = full_sets(cut(ends.distinct()), docs, size)
-    both = pairs.join(sets.select(F.col("cid").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("cid").alias("b"), F.col("s").alias("y")), "b")
-    common = F.size(F.array_intersect("x", "y"))
-    rows = both.select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("t"))
-    return cut(rows.where(100 * F.col("c") >= share * (F.col("t") - F.col("c"))).select("a", "b").distinct())
+    one, two = (sets.select(F.col("cid").alias(c), F.col("s").alias(f"s{c}")) for c in ("a", "b"))
+    common = F.size(F.array_intersect("sa", "sb"))
+    both = pairs.join(one, "a").join(two, "b").select(
+        "a", "b", common.alias("c"), (F.size("sa") + F.size("sb")).alias("t")
+    )
+    return cut(both.where(100 * F.col("c") >= share * (F.col("t") - F.col("c"))).select("a", "b").distinct())
+
+
+def rare_first(open_: DataFrame, sets: DataFrame, share: int) -> DataFrame:
+    """token, cid, n, pos, df: the shingles of each open document's prefix that others have too.
+
+    Shingles are ordered by how many of these documents have them. Sets that are linked share one of each
+    other's first shingles, and what follows it in either set must be long enough for the overlap; so
+    copies that differ in many rare shingles meet nobody.
+    """
+    own = sets.join(open_, "cid", "left_semi")
+    each = own.select("cid", F.size("s").cast("long").alias("n"), F.explode("s").alias("token"))
+    many = each.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    # those of one document only come first: a shared shingle's place counts them without a row for each
+    shared = each.join(many, "token")
+    rank = F.row_number().over(Window.partitionBy("cid").orderBy("df", "token")).cast("long")
+    total = F.count(F.lit(1)).over(Window.partitionBy("cid"))
+    placed = shared.withColumn("pos", F.col("n") - total + rank)
+    return cut(placed.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * share / 100) + 1))
+
+
+def joined_components(nodes: DataFrame, links: DataFrame, *more: str) -> DataFrame:
+    """cid, comp and ``more`` of ``nodes`` (cid and these)."""
+    comps = components(links).withColumnRenamed("node", "cid")
+    return nodes.join(comps, "cid", "left").select("cid", F.coalesce("comp", "cid").alias("comp"), *more)
+
+
+def ordered_pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.least("cid", "other").alias("a"), F.greatest("cid", "other").alias("b")).distinct()
+
+
+def linked(nodes: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame | None:
+    """a, b: links that join the same components as all links do; None if there are no candidates at all."""
+    counts = nodes.select(F.explode("post").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+    counts = cut(counts.where("c > 1"))
+    long = cut(counts.where(F.col("c") > BLOCK))
+    live = Bits.of(counts, "token", counts.count(), most_bits=1 << 27, plain=True)
+    crowded = Bits.of(long, "token", long.count(), plain=True)
+
+    any_long = not long.isEmpty()
+
+    def listed(of: DataFrame) -> DataFrame:
+        posted = postings(of, live, crowded, share)
+        block = {c: F.lit(0) for c in ("block", "x", "y")}
+        if not any_long:
+            return posted.drop("long").withColumns(block)
+        many = posted.where("long").drop("long").join(long, "token", "left")
+        many = in_blocks(many, F.coalesce("c", F.lit(1))).drop("c")
+        return posted.where("NOT long").drop("long").withColumns(block).unionByName(many)
+
+    tried = proposals(listed(nodes.withColumn("comp", F.col("cid"))), by_signature(share), share)
+    near = tried.select("cid")  # agreement is mutual, so these are all that agree with any other
+    if near.isEmpty():
+        return None
+    sets = full_sets(near, docs, size)
+    links = confirmed(ordered_pairs(tried), sets, share)
+    met = nodes.join(near, "cid", "left_semi")
+
+    def state() -> DataFrame:
+        """cid, comp and tried, the partners that the document proposed before."""
+        before = tried.groupBy("cid").agg(F.collect_list("other").alias("tried"))
+        return cut(joined_components(near, links).join(before, "cid", "left"))
+
+    def by_lists() -> DataFrame:
+        return proposals(listed(met.join(state(), "cid")), by_signature(share), share)
+
+    for _ in range(SIGNATURE_ROUNDS):
+        found = by_lists()
+        tried = tried.unionByName(found)
+        links = links.unionByName(confirmed(ordered_pairs(found), sets, share))
+    # whoever still agrees with another component is settled by an exact join of the sets' prefixes
+    open_ = by_lists().select("cid")
+    if open_.isEmpty():
+        return links
+    rare = in_blocks(rare_first(open_, sets, share), F.col("df")).drop("df")
+    while True:
+        now = rare.join(state(), "cid")
+        found = proposals(now, by_prefix(share), share)
+        more = confirmed(ordered_pairs(found), sets, share)
+        if more.isEmpty():
+            break
+        tried, links = tried.unionByName(found), links.unionByName(more)
+    # all that can be told apart by prefixes is joined by now, so few pairs are left
+    dealt = now.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "cid")
+    rest = dealt.mapInArrow(partners(by_prefix(share), share, every=True), "cid long, other long, score long")
+    return links.unionByName(confirmed(cut(ordered_pairs(rest)), sets, share))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -315,35 +434,22 @@ def components(links: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame, share: int = SHARE, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of ``docs`` (doc_id, text).
 
-    share: documents are linked if 100 times their sets' intersection is at least ``share`` times their union; at least 80.
+    share: documents are linked if 100 times their sets' intersection is at least ``share`` times their
+    union; at least 80.
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = cut(described(docs, size, share))
-    classes = cut(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), F.any_value("n").alias("n"), F.any_value("sig").alias("sig"), F.any_value("post").alias("post")))
+    one = [F.any_value(c).alias(c) for c in ("n", "sig", "post")]
+    classes = cut(rows.where("n > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("cid"), *one))
     # sets of fewer shingles are linked with equal ones only
-    nodes = classes.where(F.col("cid").isNotNull() & (F.col("n") * (100 - share) >= share)).select("cid", "n", "sig", "post")
-    tokens = nodes.select(F.explode("post").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
-    tokens = cut(tokens)
-    posted = postings(nodes, Bits.of(tokens, "token", tokens.count(), most_bits=1 << 27, plain=True), share)
-    found = cut(posted.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(candidates(share), "a long, b long, long_list long"))
-    pairs = found.where("a IS NOT NULL AND a != b").select("a", "b").distinct()
-    links = confirmed(pairs, docs, share, size)
-    long_lists = cut(found.where("long_list IS NOT NULL").select(F.col("long_list").alias("token")).distinct())
-    if not long_lists.isEmpty():
-        joined = components(links)
-        again = postings(nodes, Bits.of(long_lists, "token", long_lists.count(), plain=True), share).join(long_lists, "token", "left_semi")
-        again = cut(again.join(joined, F.col("cid") == F.col("node"), "left").select("cid", "n", "sig", "token", F.coalesce("comp", "cid").alias("comp")))
-        mixed = again.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x != y").select("token")
-        again = again.join(mixed, "token", "left_semi")
-        open_ = cut(again.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(unsettled(share), "cid long, comp long").distinct())
-        if not open_.isEmpty():
-            more = cut(remaining_pairs(open_, docs, share, size).join(pairs, ["a", "b"], "left_anti"))
-            links = links.unionByName(confirmed(more, docs, share, size))
-    joined = components(links)
-    named = classes.select("k1", "k2", "cid").join(joined, F.col("cid") == F.col("node"), "left").select("k1", "k2", F.coalesce("comp", "cid").alias("comp"))
-    out = rows.select("doc_id", "n", "k1", "k2").join(named, ["k1", "k2"], "left")
+    nodes = classes.where(F.col("cid").isNotNull() & (F.col("n") * (100 - share) >= share))
+    links = linked(nodes.select("cid", "n", "sig", "post"), docs, share, size)
+    named = classes.select("k1", "k2", "cid")
+    named = joined_components(named, links, "k1", "k2") if links else named.withColumn("comp", F.col("cid"))
+    out = rows.select("doc_id", "n", "k1", "k2").join(named.drop("cid"), ["k1", "k2"], "left")
     own = F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), own.alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE, *more: tuple[int, int]) -> DataFrame:
@@ -352,10 +458,11 @@ def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE
     more: further rules (share, size); documents that any of the rules links are in one component then.
     An identifier stays if any row with it is kept; rows without an identifier stay.
     """
-    ways = None
+    gone = None
     for rule in ((share, size), *more):
-        named = near_components(docs, *rule).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("stays"), F.min("component_id").alias("comp"))
-        named = cut(named.where("NOT stays").select("doc_id", "comp"))
-        ways = ways.unionByName(named) if ways else named
-    found = components(ways.select(F.col("doc_id").alias("a"), F.col("comp").alias("b"))) if more else ways.withColumnRenamed("doc_id", "node")
-    return without_keys(docs.withColumn("_id", F.col("doc_id").cast("long")), found.select(F.col("node").alias("_id")), "_id").drop("_id")
+        named = near_components(docs, *rule).where("doc_id IS NOT NULL")
+        named = named.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.min("component_id").alias("comp"))
+        named = cut(named.where("NOT stays").select(F.col("doc_id").alias("a"), F.col("comp").alias("b")))
+        gone = gone.unionByName(named) if gone else named
+    ids = components(gone).select("node") if more else gone.select("a")
+    return without_keys(docs, ids, [F.col("doc_id").cast("long")])
