@@ -117,7 +117,8 @@ class Ids:
     def _chunks(self, names: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Places of the ids of each chunk's two parts; the second is that of the empty string for most."""
         stems = pc.utf8_rtrim(names, ".,")
-        stems = pc.if_else(pc.match_substring_regex(stems, r"[\pL\pN]$"), stems, names)
+        # a capital I with a dot ends in a mark when it is lowered, and marks go with signs
+        stems = pc.if_else(pc.match_substring_regex(stems, r"([^\x{130}\PL]|\pN)$"), stems, names)
         n = pc.utf8_length(stems).to_numpy(zero_copy_only=False)
         ended = np.flatnonzero(pc.utf8_length(names).to_numpy(zero_copy_only=False) > n)
         kinds = {"": 0}
@@ -131,13 +132,14 @@ class Ids:
         """All ids, document after document, and the number of ids of each."""
         text = pc.fill_null(text, "")
         low = pc.ascii_lower(text)
-        lists = pc.ascii_split_whitespace(low)
+        lists = pc.ascii_split_whitespace(text)
         words = lists.flatten()
         n_words = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
         codes, names = encoded(words)
         if not len(names):
             return np.zeros(0, np.uint32), np.zeros(len(text), np.int64)
-        stems, ends = self._chunks(names)
+        # the tokenizer composes marks before it lower-cases: only where there are none may letters be lowered first
+        stems, ends = self._chunks(pc.if_else(pc.string_is_ascii(names), pc.ascii_lower(names), names))
         slots = np.stack([stems[codes], ends[codes]], 1).ravel()
         sizes = self.sizes[slots]
         upto = np.cumsum(sizes, dtype=np.int64)

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import chat, exact, fingerprints, mixing, near, packing, substrings, tokens, toxicity, urls
 from .common import read
 
-TOKENIZERS = "/opt/tokenizers"
-BYTE_RANKS, WORD_BPE = f"{TOKENIZERS}/byte_bpe_50k.tiktoken", f"{TOKENIZERS}/word_bpe_49k.json"
+BYTE_RANKS, WORD_BPE = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.tiktoken", "word_bpe_49k.json"))
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

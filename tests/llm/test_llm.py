@@ -147,6 +147,24 @@ def test_packing_is_an_exact_cover(spark, small, odd, empty):  # noqa: ANN001
     assert packing.pack(empty, registered.WORD_BPE).count() == 0
 
 
+MARKS = "\u0300\u0301\u0303\u0308\u030a\u030c\u0323\u0331\u0345\u0338"
+ODD_LETTERS = "HTJWYAaeßİıΣςKÅﬁ日本🙂´`'’\u0085\u00a0\u2028\u200b\x1c.,;:!-_<|>09٣²"
+
+
+def test_ids_are_those_of_whole_texts():  # noqa: ANN201
+    from tokenizers import Tokenizer
+
+    random.seed(5)
+    alphabet = [*"abcdeHTJWY", *MARKS * 2, *ODD_LETTERS, *" \t\n  ", "<|endoftext|>", "don't", " The", "It's"]
+    texts = ["".join(random.choices(alphabet, k=random.randrange(1, 25))) for _ in range(100_000)]
+    texts += ["H\u0331ello", "T\u0308 J\u030c W\u030a Y\u030a a\u0331.", "\u0331", ""]
+    definition = Path(registered.WORD_BPE).read_text()
+    ids, counts = packing.Ids(definition).of(pa.array(texts))
+    wanted = [e.ids for e in Tokenizer.from_str(definition).encode_batch_fast(texts, add_special_tokens=False)]
+    assert counts.tolist() == [len(w) for w in wanted]
+    assert ids.tolist() == [x for w in wanted for x in w]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_plans_use_all_lengths_and_fill_best(counts):  # noqa: ANN001
