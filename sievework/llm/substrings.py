@@ -34,6 +34,8 @@ BLOCK = 1 << 18
 FLUSH = 250_000
 #: Text bytes of one step; hashing needs some hundred bytes for each word of it.
 STEP_BYTES = 3 << 19
+#: What names a row; 128 bits, as wrong words go if two rows share a name.
+row_digest = xxhash.xxh3_128_digest
 
 
 def word_hashes(text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -167,9 +169,13 @@ def maybe_repeated(hashes: np.ndarray, bits: list[np.ndarray], cells: int) -> np
     return found
 
 
-def _text_key(text: pa.Array) -> np.ndarray:
-    """32 bits that tell apart texts under one identifier."""
-    return np.fromiter((0 if t is None else xxhash.xxh32_intdigest(t) for t in text.cast(pa.binary()).to_pylist()), np.uint32, len(text)).view(np.int32)
+def _row_keys(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits, in two halves, that stand for a row's identifier and whole text."""
+    ids = (b"" if i is None else i.to_bytes(8, "little", signed=True) for i in rows.column("doc_id").to_pylist())
+    texts = rows.column("text").cast(pa.binary()).to_pylist()
+    made = b"".join(row_digest(i + b"|" + (t or b"")) for i, t in zip(ids, texts, strict=True))
+    both = np.frombuffer(made, np.int64).reshape(-1, 2)
+    return both[:, 0], both[:, 1]
 
 
 def _spans(starts: np.ndarray, window: int) -> list[int]:
@@ -178,7 +184,7 @@ def _spans(starts: np.ndarray, window: int) -> list[int]:
     return np.stack([np.insert(starts[split + 1], 0, starts[0]), np.append(starts[split], starts[-1]) + window], 1).ravel().tolist()
 
 
-CANDIDATE = "wa long, wb long, n int, doc_id long, text_key int, start int, spans array<int>"
+CANDIDATE = "wa long, wb long, n int, ka long, kb long, start int, spans array<int>"
 
 
 def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, window: int, anchor: int) -> DataFrame:
@@ -194,7 +200,7 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
 
         def flush() -> Iterator[pa.RecordBatch]:
             a, b, start, doc = (np.concatenate([h[k] for h in held]) for k in range(4))
-            ids, keys = pa.concat_arrays([d[0] for d in docs_of]), np.concatenate([d[1] for d in docs_of])
+            ka, kb = (np.concatenate(k) for k in zip(*docs_of, strict=True))
             order = np.lexsort((b, a))
             new = np.concatenate([[True], (np.diff(a[order].view(np.int64)) != 0) | (np.diff(b[order].view(np.int64)) != 0)])
             group = np.cumsum(new) - 1
@@ -203,21 +209,24 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
             many = many[np.lexsort((start[many], doc[many]))]
             owners, firsts = np.unique(doc[many], return_index=True)
             spans = [_spans(x, window) for x in np.split(start[many], firsts[1:])] if len(many) else []
-            yield batch(a[single], b[single], 1, ids.take(pa.array(doc[single])), keys[doc[single]], start[single], None)
-            yield batch(a[one], b[one], 2, None, None, None, None)
+            own = doc[single]
+            yield batch(a[single], b[single], 1, (ka[own], kb[own]), start[single], None)
+            yield batch(a[one], b[one], 2, None, None, None)
             if len(owners):
-                own = keys[owners].astype(np.int64).view(np.uint64)
-                yield batch(mix(own), mix(own + owners.astype(np.uint64)), 2, ids.take(pa.array(owners)), keys[owners], None, spans)
+                keys, part = (ka[owners], kb[owners]), owners.astype(np.uint64)  # a key of its own in the grouping
+                yield batch(mix(keys[0].view(np.uint64)), mix(keys[1].view(np.uint64) + part), 2, keys, None, spans)
             held.clear()
             docs_of.clear()
 
-        def batch(a, b, n, ids, keys, start, spans):  # noqa: ANN001, ANN202
+        def batch(a, b, n, keys, start, spans):  # noqa: ANN001, ANN202
             none = lambda kind: pa.nulls(len(a), kind)
             columns = [
-                pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), n, np.int32)), none(pa.int64()) if ids is None else ids, none(pa.int32()) if keys is None else pa.array(keys),
-                none(pa.int32()) if start is None else pa.array(start.astype(np.int32)), none(pa.list_(pa.int32())) if spans is None else pa.array(spans, pa.list_(pa.int32())),
+                pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(np.full(len(a), n, np.int32)),
+                *([none(pa.int64())] * 2 if keys is None else map(pa.array, keys)),
+                none(pa.int32()) if start is None else pa.array(start.astype(np.int32)),
+                none(pa.list_(pa.int32())) if spans is None else pa.array(spans, pa.list_(pa.int32())),
             ]
-            return pa.RecordBatch.from_arrays(columns, ["wa", "wb", "n", "doc_id", "text_key", "start", "spans"])
+            return pa.RecordBatch.from_arrays(columns, ["wa", "wb", "n", "ka", "kb", "start", "spans"])
 
         for rows in slices(batches, most=STEP_BYTES):
             first, second, counts = word_hashes(rows.column("text"))
@@ -226,9 +235,9 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
             if len(at):
                 before = np.cumsum(counts) - counts
                 row = made.row[at]
-                base = sum(len(d[1]) for d in docs_of)
+                base = sum(len(d[0]) for d in docs_of)
                 held.append((run_hashes(first, window)[at], run_hashes(second, window)[at], at - before[row], row + base))
-                docs_of.append((rows.column("doc_id"), _text_key(rows.column("text"))))
+                docs_of.append(_row_keys(rows))
                 size += len(at)
             if size > FLUSH:
                 yield from flush()
@@ -240,14 +249,15 @@ def candidate_windows(docs: DataFrame, bits: list[np.ndarray], cells: int, windo
 
 
 def repeated_spans(docs: DataFrame, window: int, anchor: int) -> DataFrame:
-    """doc_id, text_key, starts of repeated windows, and spans of words (starts and ends in turn) that others cover."""
+    """ka, kb (see ``_row_keys``), starts of repeated windows, and spans of words (starts and ends in turn) that others cover."""
     letters = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     expected = letters // 5 * 2 // (window - anchor + 2)  # anchors: two in each stretch of as many runs as a window has
     cells = min(MOST_CELLS, max(BLOCK, 1 << (CELLS_EACH * expected).bit_length()))
     found = candidate_windows(docs, sketch(docs, cells, window, anchor), cells, window, anchor)
     total = F.sum("n").over(Window.partitionBy("wa", "wb"))
-    known = found.withColumn("total", total).where("total > 1 AND text_key IS NOT NULL")
-    return known.groupBy("doc_id", "text_key").agg(F.collect_list("start").alias("starts"), F.flatten(F.collect_list("spans")).alias("spans"))
+    known = found.withColumn("total", total).where("total > 1 AND ka IS NOT NULL")
+    lists = F.collect_list("start").alias("starts"), F.flatten(F.collect_list("spans")).alias("spans")
+    return known.groupBy("ka", "kb").agg(*lists)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, with_text: bool = False) -> DataFrame:
@@ -257,27 +267,28 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     """
     docs = bounded(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spans = cut(repeated_spans(docs, window, anchor))
-    keys = spans.select("text_key")
-    filter_ = Bits.of(keys.select(F.col("text_key").cast("long")), "text_key", keys.count(), plain=True)
+    filter_ = Bits.of(spans, "ka", spans.count(), plain=True)
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
     def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds text_key; results of documents without spans are worked out at once, and the text goes no further."""
+        """Adds ka and kb; results of documents without spans are worked out at once, and the text goes no further."""
         for rows in slices(batches):
-            keys = _text_key(rows.column("text"))
-            wait = shared.value.has_plain(keys)
+            ka, kb = _row_keys(rows)
+            wait = shared.value.has_plain(ka).tolist()
             texts = rows.column("text").to_pylist()
-            yield _kept(rows.column("doc_id"), [None if w else t or "" for t, w in zip(texts, wait.tolist(), strict=True)], None, with_text, [pa.array(keys), pa.array([t if w else None for t, w in zip(texts, wait.tolist(), strict=True)], pa.string())], ["text_key", "text"])
+            done = [None if w else t or "" for t, w in zip(texts, wait, strict=True)]
+            later = pa.array([t if w else None for t, w in zip(texts, wait, strict=True)], pa.string())
+            more = [pa.array(ka), pa.array(kb), later]
+            yield _kept(rows.column("doc_id"), done, None, with_text, more, ["ka", "kb", "text"])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
             yield _kept(rows.column("doc_id"), [t or "" for t in rows.column("text").to_pylist()], (rows.column("starts"), rows.column("spans")), with_text, [], [], window)
 
     result = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    first = docs.mapInArrow(known, result + ", text_key int, text string")
-    done = first.where("n_words IS NOT NULL").drop("text_key", "text")
-    names = spans.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"), "starts", "spans")
-    waiting = first.where("n_words IS NULL").select("doc_id", "text_key", "text").join(names, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left")
+    first = docs.mapInArrow(known, result + ", ka long, kb long, text string")
+    done = first.where("n_words IS NOT NULL").drop("ka", "kb", "text")
+    waiting = first.where("n_words IS NULL").select("doc_id", "ka", "kb", "text").join(spans, ["ka", "kb"], "left")
     return done.unionByName(waiting.select("doc_id", "text", "starts", "spans").mapInArrow(remove, result))
 
 

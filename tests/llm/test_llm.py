@@ -515,6 +515,13 @@ def test_removal_is_that_of_brute_force(spark, monkeypatch, seed, flush, cells):
     assert all(hashlib.sha256(r["kept_text"].encode()).hexdigest() == r["kept_sha256"] for r in got)
 
 
+def test_rows_with_one_short_hash_keep_their_own_words(spark):  # noqa: ANN001
+    passage = " ".join(f"p{k}" for k in range(60))
+    rows = [(None, f"{passage} s213080"), (None, "z33747"), (1, passage), (None, " ".join(f"q{k}" for k in range(81)))]
+    got = substrings.without_repeats(docs_of(spark, rows)).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in got) == brute_removal(rows)
+
+
 def test_removal_of_documents(spark, small, odd, empty):  # noqa: ANN001
     assert Counter(map(tuple, registered.op9_substring_dedup(spark, SMALL).collect())) == brute_removal(small)
     assert Counter(map(tuple, substrings.without_repeats(odd).collect())) == brute_removal(ODD)
