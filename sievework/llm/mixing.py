@@ -17,9 +17,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
 WEIGHTS, MOST_TIMES = (5, 2, 1), 3
+#: Sources whose ends, some hundred bytes each, are broadcast.
+FEW_SOURCES = 10_000
 #: Rows of one range, about.
 RANGE_ROWS = 20_000
 
@@ -135,18 +137,22 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_T
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST_TIMES) -> DataFrame:
     """The rows of ``docs`` (doc_id, source, text and any others) as often as the mix takes them, with all their columns.
 
-    What a source's queue gives in each pass ends at one place of it, so one row a source tells all, and
-    texts aren't shuffled.
+    What a source's queue gives in each pass ends at one place of it, so one row a source tells all. Up to
+    ``FEW_SOURCES`` such rows are broadcast and texts stay where they are; with more, texts are joined by source.
     """
     rows = queued(docs, weights, times)
     last = last_taken(rows, times)
     place = F.struct("key", "doc_id", "size")
-    ends = [F.max(F.when(_times(last, t + 1) > t, place)).alias(f"_end{t}") for t in range(times)]
-    ends = rows.groupBy(F.col("no_source").alias("_no_source"), F.col("name").alias("_name")).agg(*ends)
+    no_source, name, copy, *end = fresh(docs, "no_source", "name", "copy", *(f"end{t}" for t in range(times)))
+    ends = [F.max(F.when(_times(last, t + 1) > t, place)).alias(end[t]) for t in range(times)]
+    ends = cut(rows.groupBy(F.col("no_source").alias(no_source), F.col("name").alias(name)).agg(*ends))
+    if ends.count() <= FEW_SOURCES:
+        ends = F.broadcast(ends)
     own = F.struct(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size"))
-    taken = sum((F.when((own["size"] > 0) & (own <= F.col(f"_end{t}")), 1).otherwise(0) for t in range(times)), F.lit(0))
-    both = docs.join(ends, (F.col("source").isNull() == F.col("_no_source")) & (F.coalesce("source", F.lit("")) == F.col("_name")))
-    return both.withColumn("_copy", F.explode(F.array_repeat(F.lit(1), taken))).select(*docs.columns)
+    fits = [F.when((own["size"] > 0) & (own <= F.col(e)), 1).otherwise(0) for e in end]
+    same = (F.col("source").isNull() == F.col(no_source)) & (F.coalesce("source", F.lit("")) == F.col(name))
+    each = docs.join(ends, same).withColumn(copy, F.explode(F.array_repeat(F.lit(1), sum(fits, F.lit(0)))))
+    return each.select(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
 
 
 ORACLE_SQL = r"""

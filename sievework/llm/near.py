@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, slices, split_words, without_keys
+from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, shuffle_partitions, slices, split_words, without_keys
 
 SHINGLE, SHARE = 3, 85
 #: By the least share that they hold for: at similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of
@@ -47,6 +47,10 @@ BLOCK = 2048
 STEP = 256
 #: How often documents look for a partner in another component by signatures, after the first time.
 SIGNATURE_ROUNDS = 1
+#: Rounds by prefixes end when at most one proposal in so many is confirmed.
+LEAST_JOINING = 8
+#: Up to so many edges, 16 MB, are joined by one task.
+FEW_EDGES = 1 << 20
 #: How well rows of a list fit each other; 0: not at all.
 Score = Callable[[dict[str, np.ndarray], np.ndarray, np.ndarray], np.ndarray]
 FACTORS = mix(np.arange(1, K + 1, dtype=np.uint64) * GOLD) | np.uint64(1)
@@ -220,62 +224,77 @@ def by_prefix(share: int) -> Score:
     return score
 
 
-def partners(score: Score, share: int, every: bool = False):  # noqa: ANN201
-    """cid, other, score: of each row of a list its best partner in another component that wasn't tried yet.
+def partners(score: Score, share: int, want: str):  # noqa: ANN201
+    """cid, other, into, score: rows of a list and partners in another component that they didn't try yet.
 
-    every: all such pairs instead, smaller identifier first. Rows come by size, so each is compared with a
+    want: ``best`` for each row's best partner, ``each`` for the best in each component (``into``), both without
+    the rows of the list's largest component, which are met from the others' side; ``any`` for the best of all
+    rows; ``every`` for all pairs, the smaller identifier first. Rows come by size, so each is compared with a
     run of the list only.
     """
 
     def allowed(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         value = score(rows, a, b)
         value[rows["comp"][a][:, None] == rows["comp"][b][None, :]] = 0
-        if "tried" in rows:
-            for at, of, flip in ((a, b, False), (b, a, True)):
-                ids = rows["cid"][of]
-                for k in np.flatnonzero([t is not None for t in rows["tried"][at]]).tolist():
-                    hit = np.isin(ids, rows["tried"][at][k])
-                    if flip:
-                        value[hit, k] = 0
-                    else:
-                        value[k, hit] = 0
+        if "tried" in rows and value.any():
+            for k in np.flatnonzero([t is not None for t in rows["tried"][a]]).tolist():
+                value[k, np.isin(rows["cid"][b], rows["tried"][a[k]])] = 0
+            for k in np.flatnonzero([t is not None for t in rows["tried"][b]]).tolist():
+                value[np.isin(rows["cid"][a], rows["tried"][b[k]]), k] = 0
         return value
 
+    def chosen(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
+        value = allowed(rows, a, b)
+        if want in ("best", "any"):
+            j = value.argmax(1)
+            i = np.flatnonzero(value[np.arange(len(a)), j])
+            j = j[i]
+        else:
+            i, j = np.nonzero(value)
+            if want == "every":
+                keep = rows["cid"][a[i]] < rows["cid"][b[j]]
+            else:
+                order = np.lexsort((-value[i, j], rows["comp"][b[j]], i))
+                i, j = i[order], j[order]
+                into = rows["comp"][b[j]]
+                keep = np.ones(len(i), bool)
+                keep[1:] = (i[1:] != i[:-1]) | (into[1:] != into[:-1])
+            i, j = i[keep], j[keep]
+        return rows["cid"][a[i]], rows["cid"][b[j]], rows["comp"][b[j]], value[i, j]
+
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        out: list[tuple[np.ndarray, ...]] = []
+        held = 0
 
         def batch() -> pa.RecordBatch:
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "other", "score"])
+            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "other", "into", "score"])
 
         for rows in lists(batches):
-            cid, n = rows["cid"], rows["n"]
-            if (rows["comp"] == rows["comp"][0]).all():
+            n, comp = rows["n"], rows["comp"]
+            if (comp == comp[0]).all():
                 continue
-            one, two = rows["block"] == rows["x"][0], rows["block"] == rows["y"][0]
-            for mine, theirs in ((one, two),) if rows["x"][0] == rows["y"][0] else ((one, two), (two, one)):
-                asked, among = np.flatnonzero(mine), np.flatnonzero(theirs)
+            asks = np.ones(len(comp), bool)
+            if want in ("best", "each"):
+                names, sizes = np.unique(comp, return_counts=True)
+                if sizes.max() > 1:
+                    asks = comp != names[sizes.argmax()]
+            x, y = rows["x"][0], rows["y"][0]
+            one, two = rows["block"] == x, rows["block"] == y
+            for mine, theirs in ((one, two),) if x == y else ((one, two), (two, one)):
+                asked, among = np.flatnonzero(mine & asks), np.flatnonzero(theirs)
                 for at in range(0, len(asked), STEP):
                     a = asked[at : at + STEP]
                     low = np.searchsorted(n[among], -(-n[a[0]] * share // 100), "left")
                     high = np.searchsorted(n[among], n[a[-1]] * 100 // share, "right")
-                    b = among[low:high]
-                    if not len(b):
-                        continue
-                    value = allowed(rows, a, b)
-                    if every:
-                        i, j = np.nonzero(value)
-                        keep = cid[a[i]] < cid[b[j]]
-                        i, j = i[keep], j[keep]
-                    else:
-                        j = value.argmax(1)
-                        i = np.flatnonzero(value[np.arange(len(a)), j])
-                        j = j[i]
-                    if len(i):
-                        out.append((cid[a[i]], cid[b[j]], value[i, j]))
-            if sum(len(c[0]) for c in out[:64]) > 20_000 or len(out) > 4096:
+                    found = chosen(rows, a, among[low:high]) if high > low else ((),)
+                    if len(found[0]):
+                        out.append(found)
+                        held += len(found[0])
+            if held > 20_000:
                 yield batch()
+                out.clear()
+                held = 0
         if out:
             yield batch()
         release()
@@ -283,17 +302,24 @@ def partners(score: Score, share: int, every: bool = False):  # noqa: ANN201
     return find
 
 
+PARTNER = "cid long, other long, into long, score long"
+
+
+def dealt(listed: DataFrame) -> DataFrame:
+    at = [F.col(c) for c in ("token", "x", "y")]
+    return listed.repartition(shuffle_partitions(listed), *at).sortWithinPartitions(*at, "n", "cid")
+
+
 def least_overlap(x: np.ndarray | int, y: np.ndarray | int, share: int) -> np.ndarray:
     """The intersection that sets of these sizes need to be linked."""
     return -(-(x + y) * share // (100 + share))
 
 
-def proposals(listed: DataFrame, score: Score, share: int) -> DataFrame:
-    """cid and other: the best partner of each document over all its lists; so at most one pair a document."""
-    dealt = listed.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "cid")
-    found = dealt.mapInArrow(partners(score, share), "cid long, other long, score long")
-    best = F.max_by("other", F.struct(F.col("score"), -F.col("other")))
-    return cut(found.groupBy("cid").agg(best.alias("other")))
+def proposals(listed: DataFrame, score: Score, share: int, want: str) -> DataFrame:
+    """cid and other: the best partner of each document over all its lists, in each component if ``want`` is ``each``."""
+    found = dealt(listed).mapInArrow(partners(score, share, want), PARTNER)
+    best = F.max_by("other", F.struct(F.col("score"), -F.col("other"))).alias("other")
+    return cut(found.groupBy("cid", *(["into"] if want == "each" else [])).agg(best).select("cid", "other"))
 
 
 def full_sets(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
@@ -375,7 +401,7 @@ def linked(nodes: DataFrame, docs: DataFrame, share: int, size: int) -> DataFram
         many = in_blocks(many, F.coalesce("c", F.lit(1))).drop("c")
         return posted.where("NOT long").drop("long").withColumns(block).unionByName(many)
 
-    tried = proposals(listed(nodes.withColumn("comp", F.col("cid"))), by_signature(share), share)
+    tried = proposals(listed(nodes.withColumn("comp", F.col("cid"))), by_signature(share), share, "any")
     near = tried.select("cid")  # agreement is mutual, so these are all that agree with any other
     if near.isEmpty():
         return None
@@ -388,34 +414,56 @@ def linked(nodes: DataFrame, docs: DataFrame, share: int, size: int) -> DataFram
         before = tried.groupBy("cid").agg(F.collect_list("other").alias("tried"))
         return cut(joined_components(near, links).join(before, "cid", "left"))
 
-    def by_lists() -> DataFrame:
-        return proposals(listed(met.join(state(), "cid")), by_signature(share), share)
+    def by_lists(want: str) -> DataFrame:
+        return proposals(listed(met.join(state(), "cid")), by_signature(share), share, want)
 
     for _ in range(SIGNATURE_ROUNDS):
-        found = by_lists()
+        found = by_lists("best")
         tried = tried.unionByName(found)
         links = links.unionByName(confirmed(ordered_pairs(found), sets, share))
     # whoever still agrees with another component is settled by an exact join of the sets' prefixes
-    open_ = by_lists().select("cid")
+    open_ = by_lists("any").select("cid")
     if open_.isEmpty():
         return links
     rare = in_blocks(rare_first(open_, sets, share), F.col("df")).drop("df")
-    while True:
-        now = rare.join(state(), "cid")
-        found = proposals(now, by_prefix(share), share)
+    joins = True
+    while joins:
+        found = proposals(rare.join(state(), "cid"), by_prefix(share), share, "each")
         more = confirmed(ordered_pairs(found), sets, share)
-        if more.isEmpty():
-            break
         tried, links = tried.unionByName(found), links.unionByName(more)
-    # all that can be told apart by prefixes is joined by now, so few pairs are left
-    dealt = now.repartition("token", "x", "y").sortWithinPartitions("token", "x", "y", "n", "cid")
-    rest = dealt.mapInArrow(partners(by_prefix(share), share, every=True), "cid long, other long, score long")
+        joins = LEAST_JOINING * more.count() > found.count()
+    # what prefixes can tell apart is joined by now, so few pairs are left
+    rest = dealt(rare.join(state(), "cid")).mapInArrow(partners(by_prefix(share), share, "every"), PARTNER)
     return links.unionByName(confirmed(cut(ordered_pairs(rest)), sets, share))
 
 
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node and comp of at most FEW_EDGES edges: each node takes the smallest name around it, and that one's, until none changes."""
+    held = [b for b in batches if b.num_rows]
+    if not held:
+        return
+    edges = pa.Table.from_batches(held)
+    names, at = np.unique(np.concatenate([edges["u"].to_numpy(), edges["v"].to_numpy()]), return_inverse=True)
+    u, v = at[: len(at) // 2], at[len(at) // 2 :]
+    above = np.arange(len(names))
+    while True:
+        low = np.minimum(above[u], above[v])
+        new = above.copy()
+        for x in (u, v, above[u], above[v]):
+            np.minimum.at(new, x, low)
+        new = np.minimum(new, new[new])
+        if (new == above).all():
+            break
+        above = new
+    moved = np.flatnonzero(above != np.arange(len(names)))
+    yield pa.RecordBatch.from_arrays([pa.array(names[moved]), pa.array(names[above[moved]])], ["node", "comp"])
+
+
 def components(links: DataFrame) -> DataFrame:
     """node and comp, the smallest node that it reaches, for every node that isn't the smallest itself."""
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct())
+    if edges.count() <= FEW_EDGES:
+        return cut(edges.coalesce(1).mapInArrow(_stars, "node long, comp long"))
     seen = None
     while True:
         state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

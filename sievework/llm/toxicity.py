@@ -34,9 +34,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructType
 
-from .common import bounded, encoded, release, slices, split_words
+from .common import bounded, encoded, fresh, release, slices, split_words
 
 #: Documents, bytes of text of each class, and bytes of one text.
 TOXIC, CLEAN, SAMPLE_BYTES, LONGEST = 1200, 3600, 12 << 20, 256 << 10
@@ -282,19 +282,23 @@ def _crc(column: str) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
-def scored(docs: DataFrame, model: Model, carry: bool = False) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row; carry: all columns of ``docs`` and ``_score`` instead."""
+def scored(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame:
+    """doc_id, held_out, score and predicted of every row; carry: all columns of ``docs`` and the score by this name instead."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     docs = bounded(docs)
-    frame = docs if carry else docs.select("doc_id", "text", (F.col("doc_id").isNotNull() & (F.pmod(_crc("doc_id"), F.lit(3)) == 1)).alias("held_out"))
+    held_out = F.col("doc_id").isNotNull() & (F.pmod(_crc("doc_id"), F.lit(3)) == 1)
+    frame = docs if carry else docs.select("doc_id", "text", held_out.alias("held_out"))
+    name = carry or "score"
     kept = docs.columns if carry else ["doc_id", "held_out"]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in slices(batches):
-            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), pa.array(shared.value.scores(rows.column("text")))], [*kept, "_score"])
+            scores = pa.array(shared.value.scores(rows.column("text")))
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in kept), scores], [*kept, name])
 
-    made = frame.mapInArrow(score, frame.select(*kept).schema.add("_score", DoubleType()))
-    return made if carry else made.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= THRESHOLD).cast("int").alias("predicted"))
+    fields = [f for f in frame.schema.fields if f.name in kept]
+    made = frame.mapInArrow(score, StructType(fields).add(name, DoubleType()))
+    return made if carry else made.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def trained(docs: DataFrame, labels: DataFrame) -> Model:
@@ -315,4 +319,5 @@ def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score is below the threshold, with all their columns."""
-    return scored(docs, trained(docs, labels), carry=True).where(F.col("_score") < threshold).drop("_score")
+    (name,) = fresh(docs, "score")
+    return scored(docs, trained(docs, labels), carry=name).where(F.col(name) < threshold).drop(name)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import json
 import random
 import re
@@ -398,6 +399,31 @@ def test_near_queries_and_odd_tables(spark, small, odd, empty):  # noqa: ANN001
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted(i for i, _ in ODD if i not in (2, None))
 
 
+def test_long_lists_are_dealt_to_blocks(spark, monkeypatch):  # noqa: ANN001
+    monkeypatch.setattr(near, "BLOCK", 8)
+    rows = planted(3)
+    got = near.near_components(docs_of(spark, rows, 5)).collect()
+    assert {r["doc_id"]: tuple(r) for r in got} == brute_components(rows) and len(got) == len(rows)
+
+
+def test_a_large_group_that_is_just_too_different_makes_few_pairs(spark, monkeypatch):  # noqa: ANN001
+    random.seed(8)
+    template = [f"t{k}" for k in range(60)]
+    rows = []
+    for i in range(2500):  # three words of three shingles each differ: 49 of 67 shingles are shared
+        w = list(template)
+        for at in (10, 30, 50):
+            w[at] = f"x{random.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    rows += [(2500 + i, t.replace("t5 ", "z ") if i % 2 else t + " end") for i, (_, t) in enumerate(rows[:40])]
+    seen = []
+    plain = near.confirmed
+    monkeypatch.setattr(near, "confirmed", lambda pairs, *more: seen.append(pairs.count()) or plain(pairs, *more))
+    got = {r["doc_id"]: r["component_id"] for r in near.near_components(docs_of(spark, rows)).collect()}
+    assert got == {i: i if i < 2500 else i - 2500 for i, _ in rows}
+    assert sum(seen) < 8 * len(rows)
+
+
 def test_the_pipeline_removes_copies_by_either_rule(spark):  # noqa: ANN001
     pipeline = pytest.importorskip("corpus_pipeline")
     random.seed(3)
@@ -419,12 +445,17 @@ def test_the_pipeline_removes_copies_by_either_rule(spark):  # noqa: ANN001
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 25), st.integers(0, 25)), max_size=30))
 def test_stars_find_components(spark, links):  # noqa: ANN001
+    few = near.FEW_EDGES
     above = list(range(26))
     for _ in range(26):
         for a, b in links:
             above[a] = above[b] = min(above[a], above[b])
-    got = {r["node"]: r["comp"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert all(got.get(n, n) == above[n] for pair in links for n in pair)
+    try:
+        for near.FEW_EDGES in (few, 0):
+            got = {r["node"]: r["comp"] for r in near.components(spark.createDataFrame(links, "a long, b long")).collect()}
+            assert all(got.get(n, n) == above[n] for pair in links for n in pair)
+    finally:
+        near.FEW_EDGES = few
 
 
 # 8 mixing
@@ -504,6 +535,22 @@ def repeats(seed: int) -> list[tuple[int | None, str | None]]:
     return [*out, (300, None), (301, ""), (302, "x " * 40), (303, "y " * 35), (304, "z " * 36), (304, "z " * 36)]
 
 
+#: Names that operators might use themselves.
+CLASH = ["_score", "_may", "_name", "_no_source", "_pair", "_id", "_copy", "_end0", "_gone", "_key0", "_hash", "_place0", "_none", "_known", "_digest", "_whole", "_order"]
+
+
+def test_stages_keep_columns_of_any_name_and_type(spark, toxic):  # noqa: ANN001
+    same = "one two three four five six seven eight nine ten eleven twelve " * 3
+    rows = [(1, same), (2, same + "x"), (3, same), (3, same), (4, "another text"), (None, None), (None, "of no one")]
+    docs = docs_of(spark, rows).withColumns({c: F.lit(f"own {c}") for c in CLASH}).withColumn("map", F.create_map(F.lit("k"), "doc_id"))
+    _, labels = toxic[0], toxic[1]
+    for kept in (exact.without_copies(docs, "largest"), near.without_near_copies(docs, 80, 5), mixing.mixed(docs), toxicity.without_toxic(docs, labels)):
+        assert kept.columns == docs.columns
+        got = kept.collect()
+        assert got and all(r[c] == f"own {c}" for r in got for c in CLASH) and all(r["map"] == {"k": r["doc_id"]} for r in got)
+    assert sorted(r["doc_id"] or 0 for r in exact.without_copies(docs, "largest").collect()) == [0, 0, 2, 3, 4]
+
+
 @pytest.mark.parametrize(("seed", "flush", "cells"), [(1, 500, None), (2, 250_000, None), (3, 500, 1 << 10)])
 def test_removal_is_that_of_brute_force(spark, monkeypatch, seed, flush, cells):  # noqa: ANN001
     monkeypatch.setattr(substrings, "FLUSH", flush)
@@ -579,6 +626,70 @@ def test_gaps_and_insertions_are_close(toxic):  # noqa: ANN001
     assert gapped[0] > other[0]
 
 
+def brute_features(unit: str) -> Counter:
+    """Gapped subsequences of three letters, each occurrence weighted by its gaps."""
+    letters = [c if c.isalpha() else None for c in unit.lower()]
+    out = Counter()
+    for i, j, k in itertools.combinations(range(len(letters)), 3):
+        if k - i < toxicity.SPAN and None not in (found := (letters[i], letters[j], letters[k])):
+            out[found] += toxicity.DECAY ** (k - i - 2)
+    return out
+
+
+def brute_length(unit: str) -> float:
+    """The root of the squared weights of a unit's occurrences."""
+    letters = [c.isalpha() for c in unit.lower()]
+    spans = [k - i for i, j, k in itertools.combinations(range(len(letters)), 3) if k - i < toxicity.SPAN and letters[i] and letters[j] and letters[k]]
+    return sum(toxicity.DECAY ** (2 * (s - 2)) for s in spans) ** 0.5
+
+
+UNITS = ["stupid", "st-u.pid", "sstuppid", "s t u p i d", "kind", "abcabcabc", "a-b-c-d", "xyz", "stopped", "aaaa"]
+
+
+def test_the_kernel_is_that_of_brute_force():  # noqa: ANN201
+    columns, _, _ = toxicity.features(pa.array(UNITS))
+    got = columns.T @ columns
+    for a, x in enumerate(UNITS):
+        for b, y in enumerate(UNITS):
+            p, q = brute_features(x), brute_features(y)
+            wanted = sum(p[k] * q[k] for k in p) / (brute_length(x) * brute_length(y))
+            assert got[a, b] == pytest.approx(wanted, rel=1e-4), (x, y)
+
+
+def test_the_folded_table_gives_the_sum_over_landmarks():  # noqa: ANN201
+    columns, used, _ = toxicity.features(pa.array(UNITS[:6]))
+    weights = np.linspace(-1, 1, 6)
+    table = np.zeros(toxicity.SYMBOLS**3, np.float32)
+    table[used] = columns[:-1] @ weights.astype(np.float32)
+    folded = toxicity.raw(pa.array(UNITS), table)
+    for k, x in enumerate(UNITS):
+        p = brute_features(x)
+        plain = 0.0
+        for w, y in zip(weights, UNITS[:6], strict=True):
+            q = brute_features(y)
+            plain += w * sum(p[t] * q[t] for t in p) / (brute_length(x) * brute_length(y))
+        assert folded[k] == pytest.approx(plain, rel=1e-3, abs=1e-5)
+
+
+def test_the_machine_is_a_minimum_of_its_loss():  # noqa: ANN201
+    random_ = np.random.default_rng(4)
+    x = random_.normal(size=(300, 5))
+    y = np.where(x @ [1, -2, 0.5, 0, 0] + random_.normal(size=300) > 0.3, 1.0, -1.0)
+    weight = random_.uniform(0.1, 1, 300) / 300
+    w = toxicity._machine(x, y, weight)
+    one = np.concatenate([x, np.ones((300, 1))], 1)
+    keep = np.array([1e-3] * 5 + [1e-8])
+    loss = lambda v: (keep * v * v).sum() + (weight * np.maximum(0, 1 - y * (one @ v)) ** 2).sum()
+    for k in range(6):
+        for step in (-1e-3, 1e-3):
+            assert loss(w) <= loss(w + step * np.eye(6)[k])
+    v = np.zeros(6)
+    for _ in range(20_000):  # plain descent comes to the same place
+        inside = np.maximum(0, 1 - y * (one @ v))
+        v -= 0.2 * (2 * keep * v - 2 * (weight * inside * y) @ one)
+    assert np.allclose(v, w, atol=1e-3)
+
+
 def test_labels_are_never_inputs(toxic):  # noqa: ANN001
     docs, labels, model = toxic
     again = toxicity.trained(docs, labels.withColumn("toxic", F.when(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic"))))
