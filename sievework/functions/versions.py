@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -26,12 +27,35 @@ def dotted_order(a: Column, b: Column) -> Column:
     return F.coalesce(F.get(F.filter(orders, lambda x: x != 0), F.lit(0)), F.lit(0))
 
 
+def dotted_key(version: Column) -> Column:
+    """A text that sorts as a dotted version of numbers does; null if a part isn't a number of up to 20 digits.
+
+    Parts have a fixed width and last parts of zero are left out, as missing parts count as 0.
+    """
+    parts = F.transform(F.split(version, r"\."), lambda p: F.lpad(F.regexp_replace(p, r"^\+", ""), 20, "0"))
+    numbers = version.rlike(r"^\+?[0-9]{1,20}(\.\+?[0-9]{1,20})*$")
+    return F.when(numbers, F.regexp_replace(F.array_join(parts, ""), "(0{20})+$", ""))
+
+
+def upper_limit(range_: Column) -> Column:
+    """The parts of ``< x`` and ``<= x``: version, key (see ``dotted_key``) and whether it is included; null for any other form."""
+    plain = F.regexp_replace(range_, r"^\s+|\s+$", "")
+    version = F.regexp_replace(F.regexp_extract(plain, r"^<=?(.*)$", 1), r"^\s+|\s+$", "")
+    limit = F.struct(version.alias("version"), dotted_key(version).alias("key"), plain.startswith("<=").alias("included"))
+    return F.when(plain.startswith("<"), limit)
+
+
+def within(installed: Column, key: Column, limit: Column) -> Column:
+    """Whether a version, with its key, is below a limit: both are read once a row, not once a pair."""
+    by_key = (key < limit["key"]) | (limit["included"] & (key == limit["key"]))
+    order = dotted_order(installed, limit["version"])
+    by_parts = F.when(limit["included"], order <= 0).otherwise(order < 0)
+    return F.when(limit.isNull(), False).when(key.isNotNull() & limit["key"].isNotNull(), by_key).otherwise(by_parts)
+
+
 def below(installed: Column, range_: Column) -> Column:
     """Whether a version is within ``< x`` or ``<= x``; false for any other form."""
-    plain = F.regexp_replace(range_, r"^\s+|\s+$", "")
-    upper = F.regexp_replace(F.regexp_extract(plain, r"^<=?(.*)$", 1), r"^\s+|\s+$", "")
-    order = dotted_order(installed, upper)
-    return F.when(plain.startswith("<="), order <= 0).when(plain.startswith("<"), order < 0).otherwise(False)
+    return within(installed, dotted_key(installed), upper_limit(range_))
 
 
 @dataclass(frozen=True, order=True)
@@ -59,6 +83,7 @@ def _pre(text: str | None) -> tuple:
     return (*((0, 0, int(p), "") if p.isdigit() else (0, 1, 0, p) for p in text.split(".")), (-1,))
 
 
+@lru_cache(1 << 16)
 def parse_version(text: str) -> Version | None:
     m = _VERSION.fullmatch(text)
     return Version(int(m[1]), int(m[2]), int(m[3]), _pre(m[4])) if m else None
@@ -89,13 +114,17 @@ def _clause(text: str):  # noqa: ANN202
     return tests[op], (base if m[5] else None)
 
 
+@lru_cache(1 << 16)
+def _clauses(range_: str) -> list:
+    return [_clause(c) for c in range_.split(",")] if range_.strip() else [((lambda v: True), None)]
+
+
 def semver_matches(installed: str, range_: str) -> bool | None:
     """Whether a version is in a comma-parted range; None if either can't be read.
 
     A pre-release is in the range only if some comparator names a pre-release of the same three numbers.
     """
-    version = parse_version(installed)
-    clauses = [_clause(c) for c in range_.split(",")] if range_.strip() else [((lambda v: True), None)]
+    version, clauses = parse_version(installed), _clauses(range_)
     if version is None or any(c is None for c in clauses):
         return None
     if not all(test(version) for test, _ in clauses):
@@ -110,8 +139,16 @@ def _semver(installed: pd.Series, range_: pd.Series) -> pd.Series:
 SEMVER = ("npm", "cargo", "nuget", "go")
 
 
+def plain_version(installed: Column, ecosystem: Column) -> Column:
+    return F.when(ecosystem == "go", F.regexp_replace(installed, "^v", "")).otherwise(installed)
+
+
+def semver_match(plain: Column, range_: Column, ecosystem: Column) -> Column:
+    """Whether a version is in a semantic range; null where the ecosystem has none or either can't be read."""
+    return F.when(ecosystem.isin(*SEMVER), F.pandas_udf(_semver, "boolean")(plain, range_))
+
+
 def version_matches(installed: Column, range_: Column, ecosystem: Column) -> Column:
     """Whether a version is affected: a semantic range where the ecosystem has them and both can be read, else dotted ``<`` and ``<=``."""
-    plain = F.when(ecosystem == "go", F.regexp_replace(installed, "^v", "")).otherwise(installed)
-    found = F.when(ecosystem.isin(*SEMVER), F.pandas_udf(_semver, "boolean")(plain, range_))
-    return F.coalesce(found, below(plain, range_), F.lit(False))
+    plain = plain_version(installed, ecosystem)
+    return F.coalesce(semver_match(plain, range_, ecosystem), below(plain, range_), F.lit(False))

@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import cut
+
 WINDOW_TOKENS, MOST_BLOCKS, MOST_FINDINGS = 100, 100, 50
 
 
@@ -43,12 +45,14 @@ def windows(files: DataFrame, size: int = WINDOW_TOKENS, digest: bool = False) -
 
 def window_groups(found: DataFrame) -> DataFrame:
     """hash, occurrences and files of windows that occur more than once."""
-    return found.groupBy("hash").agg(F.count(F.lit(1)).alias("occurrences"), F.count_distinct("path").alias("files")).where("occurrences > 1")
+    each = found.groupBy("hash", "path").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("hash").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("files")).where("occurrences > 1")
 
 
 def repeated(found: DataFrame) -> DataFrame:
     """The occurrences of windows that occur more than once; counts come first, so a frequent window isn't gathered."""
-    return found.join(window_groups(found).select("hash"), "hash", "left_semi")
+    many = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return found.join(many.select("hash"), "hash", "left_semi")
 
 
 def duplicated_lines(found: DataFrame) -> DataFrame:
@@ -58,36 +62,55 @@ def duplicated_lines(found: DataFrame) -> DataFrame:
 
 def percentage(files: DataFrame, size: int = WINDOW_TOKENS) -> DataFrame:
     """One row: duplicated_lines, total_lines (up to each file's last token) and duplicate_pct."""
-    lines = duplicated_lines(windows(files, size)).agg(F.count(F.lit(1)).alias("duplicated_lines"))
+    files = cut(files)
+    lines = duplicated_lines(cut(windows(files, size).select("hash", "path", "start_line", "end_line"))).agg(F.count(F.lit(1)).alias("duplicated_lines"))
     total = files.where(F.size("tokens") > 0).agg(F.coalesce(F.sum(F.element_at("tokens", -1)["line"].cast("long") + 1), F.lit(0).cast("long")).alias("total_lines"))
     both = lines.join(total, F.lit(True))  # one row each
     return both.withColumn("duplicate_pct", F.when(F.col("total_lines") > 0, F.col("duplicated_lines") / F.col("total_lines") * 100).otherwise(0.0))
 
 
+def links(occurrences: DataFrame) -> DataFrame:
+    """path_a, pos, path_b, shift: places of equal windows, the earlier one first; n places of a window give n - 1 links.
+
+    A window's places are chained within buckets of files, and the buckets' first places among each other, so
+    that no task sorts all places of a frequent window.
+    """
+    place = F.struct("path", "pos")
+    rows = occurrences.select("hash", F.substring(F.md5("path"), 1, 2).alias("bucket"), place.alias("a"))
+    inside = Window.partitionBy("hash", "bucket").orderBy("a")
+    rows = rows.withColumns({"b": F.lead("a").over(inside), "first": F.row_number().over(inside) == 1})
+    heads = rows.where("first").withColumn("b", F.lead("a").over(Window.partitionBy("hash").orderBy("bucket")))
+    both = rows.unionByName(heads).where("b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return both.select(F.col("a.path").alias("path_a"), F.col("a.pos").alias("pos"), F.col("b.path").alias("path_b"), (F.col("b.pos") - F.col("a.pos")).alias("shift"))
+
+
 def diagonals(found: DataFrame, size: int = WINDOW_TOKENS) -> DataFrame:
-    """Maximal blocks: path_a, path_b, starts, ends (lines) and tokens of runs of windows that two places share.
+    """Maximal blocks: path_a, path_b, starts, ends (lines) and tokens of runs of windows that two linked places share.
 
-    Occurrences of a window are chained in order, each with the next, so a window with n occurrences gives
-    n - 1 links and not all pairs; runs of links along a diagonal are one block.
+    Each link is extended both ways: all windows that are equal along its diagonal are looked up, and the run
+    that holds a link is one block, whichever of its windows were linked. Windows are cut once.
     """
-    chain = Window.partitionBy("hash").orderBy("path", "pos")
-    at = repeated(found).select("hash", "path", "pos", "start_line", "end_line", F.lead(F.struct("path", "pos", "start_line", "end_line")).over(chain).alias("b")).where("b IS NOT NULL")
-    at = at.select(F.col("path").alias("path_a"), "pos", "start_line", "end_line", F.col("b.path").alias("path_b"), (F.col("b.pos") - F.col("pos")).alias("shift"), F.col("b.start_line").alias("b_start"), F.col("b.end_line").alias("b_end"))
-    along = Window.partitionBy("path_a", "path_b", "shift").orderBy("pos")
-    new = F.coalesce((F.col("pos") - F.lag("pos").over(along) > 1).cast("int"), F.lit(1))
-    islands = at.withColumn("new", new).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    return islands.groupBy("path_a", "path_b", "shift", "island").agg(
-        F.min("start_line").alias("start_a"), F.max("end_line").alias("end_a"), F.min("b_start").alias("start_b"), F.max("b_end").alias("end_b"), (F.count(F.lit(1)) + size - 1).alias("token_count"),
-    ).drop("shift", "island")
+    at = cut(repeated(cut(found)))
+    linked = cut(links(at).distinct())
+    along = at.withColumnRenamed("path", "path_a").join(linked.select("path_a", "path_b", "shift").distinct(), "path_a")
+    there = at.select(F.col("path").alias("path_b"), F.col("pos").alias("pos_b"), F.col("hash").alias("hash_b"), F.col("start_line").alias("b_start"), F.col("end_line").alias("b_end"))
+    along = along.withColumn("pos_b", F.col("pos") + F.col("shift")).join(there, ["path_b", "pos_b"]).where("hash = hash_b")
+    along = along.join(linked.withColumn("link", F.lit(True)), ["path_a", "pos", "path_b", "shift"], "left")
+    # positions of a run less their ranks are alike
+    rank = F.row_number().over(Window.partitionBy("path_a", "path_b", "shift").orderBy("pos"))
+    return along.withColumn("island", F.col("pos") - rank).groupBy("path_a", "path_b", "shift", "island").agg(
+        F.min("start_line").alias("start_a"), F.max("end_line").alias("end_a"), F.min("b_start").alias("start_b"), F.max("b_end").alias("end_b"),
+        (F.count(F.lit(1)) + size - 1).alias("token_count"), F.max("link").alias("linked"),
+    ).where("linked").drop("shift", "island", "linked")
 
 
 def _merge(rows: pd.DataFrame) -> pd.DataFrame:
-    """Neighbours in order are one block if they touch, or are a line apart, on both sides; tokens add up."""
+    """Neighbours in order are one block if they are of one pair and touch, or are a line apart, on both sides; tokens add up."""
     out: list[list] = []
-    for r in rows.sort_values(["start_a", "start_b", "end_a", "end_b"]).itertuples(index=False):
+    for r in rows.sort_values(["start_a", "path_b", "start_b", "end_a", "end_b", "token_count"]).itertuples(index=False):
         if out:
             last = out[-1]
-            if r.start_a <= last[3] + 1 and r.start_b <= last[5] + 1 and r.end_b >= last[4] - 1:
+            if last[1] == r.path_b and r.start_a <= last[3] + 1 and r.start_b <= last[5] + 1:
                 last[3], last[4], last[5], last[6] = max(last[3], r.end_a), min(last[4], r.start_b), max(last[5], r.end_b), last[6] + r.token_count
                 continue
         out.append([r.path_a, r.path_b, r.start_a, r.end_a, r.start_b, r.end_b, r.token_count])
@@ -95,9 +118,11 @@ def _merge(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def merged_blocks(blocks: DataFrame) -> DataFrame:
-    """Blocks of a pair of files, merged; one pair's blocks are folded together, as side B isn't in order."""
+    """Blocks in the order of file A, its line, file B and its line, neighbours merged; one file's blocks are folded together."""
     kind = "path_a string, path_b string, start_a long, end_a long, start_b long, end_b long, token_count long"
-    return blocks.select("path_a", "path_b", *[F.col(c).cast("long").alias(c) for c in ("start_a", "end_a", "start_b", "end_b", "token_count")]).groupBy("path_a", "path_b").applyInPandas(_merge, kind).withColumn("line_count", F.col("end_a") - F.col("start_a") + 1)
+    numbers = [F.col(c).cast("long").alias(c) for c in ("start_a", "end_a", "start_b", "end_b", "token_count")]
+    merged = blocks.select("path_a", "path_b", *numbers).groupBy("path_a").applyInPandas(_merge, kind)
+    return merged.withColumn("line_count", F.col("end_a") - F.col("start_a") + 1)
 
 
 def largest(blocks: DataFrame, most: int = MOST_BLOCKS) -> DataFrame:

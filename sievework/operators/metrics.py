@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..lineage import cut
 
 MOST_CYCLOMATIC, MOST_COGNITIVE = 15, 25
 
@@ -58,8 +59,14 @@ def line_counts(files: DataFrame, comments: DataFrame | None = None, prefix: str
 
 
 def function_metrics(nodes: DataFrame, kinds: Kinds) -> DataFrame:
-    """path, node_id, name, start_line, end_line, loc, cyclomatic, cognitive, parameters of every function with a name."""
+    """path, node_id, name, start_line, end_line, loc, cyclomatic, cognitive, parameters of every function with a name.
+
+    Nodes are written once, without what the metrics don't look at, so that several branches don't parse again.
+    """
     function = F.col("kind").isin(*kinds.functions)
+    seen = function | F.col("kind").isin(*kinds.decisions, *kinds.logical)
+    slim = F.when(seen, F.col("path_from_root")).alias("path_from_root"), F.when(F.col("field_name") == "name", F.col("text")).alias("text")
+    nodes = cut(nodes.select("path", "node_id", "parent_id", "kind", "field_name", "is_named", "ordinal", "start_row", "end_row", *slim))
     functions = nodes.where(function).select("path", "node_id", F.size("path_from_root").alias("fn_depth"), (F.col("start_row") + 1).alias("start_line"), (F.col("end_row") + 1).alias("end_line"))
     names = nodes.where("field_name = 'name'").groupBy("path", F.col("parent_id").alias("node_id")).agg(F.min_by("text", "ordinal").alias("name"))
     parameters = nodes.where("field_name = 'parameters'").select("path", F.col("node_id").alias("p"), F.col("parent_id").alias("f"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import ranks, text
+from ..lineage import cut
 from . import taint
 
 #: Taint settings for Python: what brings data in, what must not get it, and what makes it safe.
@@ -89,17 +90,17 @@ def _finding(rows: DataFrame, files: DataFrame, level: str, tool: str) -> DataFr
 
 def flow_findings(files: DataFrame, nodes: DataFrame, sinks: DataFrame, settings: dict = PYTHON_TAINT, tool: str = "sieve") -> DataFrame:
     """Findings of taint that reaches a sink within a function."""
-    inside = taint._cut(owned(nodes))
+    inside = cut(owned(nodes))
     defs = taint.propagate(definitions(inside, settings), uses(inside))
     return _finding(taint.tainted_sinks(calls(inside), sinks, uses(inside), defs), files, "L2", tool)
 
 
 def cross_file_findings(files: DataFrame, nodes: DataFrame, sinks: DataFrame, settings: dict = PYTHON_TAINT, tool: str = "sieve", most: int = taint.MOST_CALLS) -> DataFrame:
     """Findings of taint that reaches a sink over calls, within and across files."""
-    inside = taint._cut(owned(nodes))
+    inside = cut(owned(nodes))
     known = functions(inside)
     found = taint.resolve_imports(imports(nodes), files)
-    linked = taint._cut(taint.resolve_calls(calls(inside), known, found))
+    linked = cut(taint.resolve_calls(calls(inside), known, found))
     rows = taint.cross_call_taint(linked, known, definitions(inside, settings), uses(inside), sinks, most)
     where = rows.groupBy("fn", "line", "vulnerability", "variable").agg(F.min("depth").alias("depth"))
     return _finding(where.join(known.select(F.col("key").alias("fn"), "path"), "fn"), files, "L3", tool)

@@ -31,14 +31,17 @@ def distinct_dependencies(deps: DataFrame) -> DataFrame:
 def affected(deps: DataFrame, advisories: DataFrame, plain: bool = False) -> DataFrame:
     """Dependencies joined to the advisories whose range their version is in.
 
-    An equi-join on ecosystem and package; ranges are tested on the pairs it leaves. plain: dotted
-    comparison only, without Python.
+    An equi-join on ecosystem and package; ranges are tested on the pairs it leaves. Versions and limits are
+    read before the join, once a row. plain: dotted comparison only, without Python.
     """
-    a = advisories.withColumnRenamed("ecosystem", "a_ecosystem")
-    pairs = deps.join(a, (F.col("ecosystem") == F.col("a_ecosystem")) & (F.col("name") == F.col("package_name"))).drop("a_ecosystem")
-    if plain:
-        return pairs.where(versions.below(F.col("version"), F.col("affected_range")))
-    return pairs.where(versions.version_matches(F.col("version"), F.col("affected_range"), F.col("ecosystem")))
+    version = F.col("version") if plain else versions.plain_version(F.col("version"), F.col("ecosystem"))
+    left = deps.withColumn("_plain", version).withColumn("_key", versions.dotted_key(F.col("_plain")))
+    right = advisories.withColumnRenamed("ecosystem", "a_ecosystem").withColumn("_limit", versions.upper_limit(F.col("affected_range")))
+    pairs = left.join(right, (F.col("ecosystem") == F.col("a_ecosystem")) & (F.col("name") == F.col("package_name")))
+    hit = versions.within(F.col("_plain"), F.col("_key"), F.col("_limit"))
+    if not plain:
+        hit = F.coalesce(versions.semver_match(F.col("_plain"), F.col("affected_range"), F.col("ecosystem")), hit)
+    return pairs.where(hit).drop("a_ecosystem", "_plain", "_key", "_limit")
 
 
 def dependency_findings(matches: DataFrame, tool: str = "sieve") -> DataFrame:

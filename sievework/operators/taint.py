@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..lineage import cut
 
 MOST_ROUNDS, MOST_CALLS = 100, 5
 ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".py", "/index.ts", "/index.tsx", "/index.js")
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Cuts the lineage of a loop's frame in the cluster's checkpoint folder."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sievework-"))
-    return df.checkpoint()
-
-
 def reaching_definitions(uses: DataFrame, defs: DataFrame, keys: tuple[str, ...] = ("path", "fn", "name")) -> DataFrame:
     """Each use with the state and line of the last definition at or before its line; of one line's the last by ``ord``.
 
@@ -47,12 +38,12 @@ def propagate(defs: DataFrame, uses: DataFrame, rounds: int = MOST_ROUNDS) -> Da
     that definition; clean ones stop it. Every round works on all functions at once.
     """
     uses = uses.select("path", "fn", "name", "use_line", F.monotonically_increasing_id().alias("use_id"))
-    uses, defs = _cut(uses), _cut(defs)
+    uses, defs = cut(uses), cut(defs)
     for _ in range(rounds):
         carried = reaching_definitions(uses, defs).where("state = 'tainted'").select("path", "fn", F.col("use_line").alias("at"), "def_line").groupBy("path", "fn", "at").agg(F.min("def_line").alias("since"))
         hit = (F.col("state") == "unknown") & F.col("since").isNotNull() & (F.col("def_line") > F.col("since"))
         joined = defs.join(carried.withColumnRenamed("at", "def_line"), ["path", "fn", "def_line"], "left").withColumn("hit", F.coalesce(hit, F.lit(False)))
-        joined = _cut(joined)
+        joined = cut(joined)
         if joined.where("hit").isEmpty():
             break
         defs = joined.select("path", "fn", "name", "def_line", "ord", F.when(F.col("hit"), "tainted").otherwise(F.col("state")).alias("state"))
@@ -84,7 +75,7 @@ def tainted_sinks(calls: DataFrame, sinks: DataFrame, uses: DataFrame, defs: Dat
     """
     rows = sink_calls(calls, sinks).select("call_id", "path", "fn", "callee", "line", "vulnerability", "tainted_args", F.posexplode("args").alias("place", "name"))
     rows = rows.where(F.array_contains("tainted_args", F.col("place"))).withColumn("use_id", F.monotonically_increasing_id())
-    rows = _cut(rows)
+    rows = cut(rows)
     found = reaching_definitions(rows.withColumnRenamed("line", "use_line"), defs).where("state = 'tainted'").select("use_id", "def_line")
     best = rows.join(found, "use_id").groupBy("call_id").agg(F.min(F.struct("place", "name", "def_line")).alias("b"))
     return calls.join(best, "call_id").join(rows.select("call_id", "vulnerability").distinct(), "call_id").select("call_id", "path", "fn", "callee", "line", "vulnerability", F.col("b.name").alias("variable"), F.col("b.def_line").alias("source_line"))
@@ -122,28 +113,28 @@ def resolve_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame) ->
 def reachable(edges: DataFrame, starts: DataFrame, most: int = MOST_CALLS) -> DataFrame:
     """entry, node and depth: the fewest steps, up to ``most``, from each start (node) along edges (src, dst)."""
     edges = edges.select("src", "dst").distinct()
-    seen = _cut(starts.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
+    seen = cut(starts.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth")).distinct())
     front = seen
     for depth in range(1, most + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("entry", F.col("dst").alias("node")).distinct()
-        front = _cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        front = cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
 def call_chains(edges: DataFrame, starts: DataFrame, most: int = MOST_CALLS) -> DataFrame:
     """entry, node, depth and the smallest chain of keys among the shortest."""
-    seen = _cut(starts.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth"), F.array("node").alias("chain")).distinct())
+    seen = cut(starts.select(F.col("node").alias("entry"), "node", F.lit(0).alias("depth"), F.array("node").alias("chain")).distinct())
     front, edges = seen, edges.select("src", "dst").distinct()
     for depth in range(1, most + 1):
         step = front.join(edges, front["node"] == edges["src"]).select("entry", F.col("dst").alias("node"), F.concat("chain", F.array("dst")).alias("chain"))
         step = step.groupBy("entry", "node").agg(F.min("chain").alias("chain"))
-        front = _cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(depth).alias("depth"), "chain"))
+        front = cut(step.join(seen.select("entry", "node"), ["entry", "node"], "left_anti").select("entry", "node", F.lit(depth).alias("depth"), "chain"))
         if front.isEmpty():
             break
-        seen = _cut(seen.unionByName(front))
+        seen = cut(seen.unionByName(front))
     return seen
 
 
@@ -164,23 +155,23 @@ def cross_call_taint(calls: DataFrame, functions: DataFrame, defs: DataFrame, us
         inside = state.select("entry", "fn").distinct().join(calls, "fn").select("call_id", "path", key.alias("fn"), "callee", "callee_key", "line", "args")
         if depth:
             hits = tainted_sinks(inside.withColumn("call_id", F.concat_ws("\x1f", F.col("fn"), F.col("call_id").cast("string"))), sinks, uses, own)
-            hits = _cut(hits.select(F.substring_index("fn", "\x1f", 1).alias("entry"), F.substring_index("fn", "\x1f", -1).alias("fn"), F.lit(depth).alias("depth"), "callee", "line", "vulnerability", "variable"))
+            hits = cut(hits.select(F.substring_index("fn", "\x1f", 1).alias("entry"), F.substring_index("fn", "\x1f", -1).alias("fn"), F.lit(depth).alias("depth"), "callee", "line", "vulnerability", "variable"))
             found = hits if found is None else found.unionByName(hits)
         if depth == most:
             break
         asked = inside.where("callee_key IS NOT NULL").select("path", "fn", "line", "callee_key", F.posexplode("args").alias("place", "name")).withColumn("use_id", F.monotonically_increasing_id())
-        asked = _cut(asked)
+        asked = cut(asked)
         tainted = reaching_definitions(asked.withColumnRenamed("line", "use_line"), own).where("state = 'tainted'").select("use_id")
         passed = asked.join(tainted, "use_id", "left_semi").select(F.substring_index("fn", "\x1f", 1).alias("entry"), F.col("callee_key").alias("fn"), "place").distinct()
         passed = passed.join(seen, ["entry", "fn"], "left_anti")
         given = passed.join(functions.select(F.col("key").alias("fn"), F.col("path").alias("f_path"), F.col("line").alias("f_line"), "params"), "fn")
         given = given.select("entry", "fn", F.col("f_path").alias("path"), F.get("params", F.col("place")).alias("name"), F.col("f_line").alias("def_line"), F.lit(-1).alias("ord"), F.lit("tainted").alias("state")).where("name IS NOT NULL")
-        given = _cut(given)
+        given = cut(given)
         if given.isEmpty():
             break
         reached = given.select("entry", "fn").distinct()
-        seen = _cut(seen.unionByName(reached))
-        state = _cut(given.unionByName(reached.join(defs, "fn").select("entry", "fn", "path", "name", "def_line", "ord", "state")))
+        seen = cut(seen.unionByName(reached))
+        state = cut(given.unionByName(reached.join(defs, "fn").select("entry", "fn", "path", "name", "def_line", "ord", "state")))
     return found
 
 
@@ -190,7 +181,7 @@ def entry_points(defs: DataFrame) -> DataFrame:
 
 def tainted_returns(returns: DataFrame, defs: DataFrame) -> DataFrame:
     """Functions that return a variable (path, fn, name, line) with a tainted reaching definition."""
-    rows = _cut(returns.withColumn("use_id", F.monotonically_increasing_id()))
+    rows = cut(returns.withColumn("use_id", F.monotonically_increasing_id()))
     return reaching_definitions(rows.withColumnRenamed("line", "use_line"), defs).where("state = 'tainted'").select("path", "fn").distinct()
 
 

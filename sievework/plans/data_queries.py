@@ -269,7 +269,30 @@ def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select("n_nationkey", text.resolved_path(text.normal_path(raw)).alias("path"))
 
 
+#: Blocks as SQL: repeated windows chained in buckets, their diagonals, runs that hold a link, and neighbours merged.
+_BLOCKS = _WINDOWS + f""",
+o AS (SELECT hash, path, pos, start_line, end_line, md5(path)[1:2] AS bucket FROM v WHERE hash IN (SELECT hash FROM v GROUP BY hash HAVING count(*) > 1)),
+c AS (SELECT hash, bucket, path, pos, lead(path) OVER i AS next_path, lead(pos) OVER i AS next_pos, row_number() OVER i = 1 AS head FROM o WINDOW i AS (PARTITION BY hash, bucket ORDER BY path, pos)),
+h AS (SELECT path, pos, lead(path) OVER i AS next_path, lead(pos) OVER i AS next_pos FROM c WHERE head WINDOW i AS (PARTITION BY hash ORDER BY bucket)),
+e AS (SELECT path, pos, next_path, next_pos FROM c WHERE next_path IS NOT NULL UNION ALL SELECT * FROM h WHERE next_path IS NOT NULL),
+lk AS (SELECT DISTINCT CASE WHEN swap THEN next_path ELSE path END AS path_a, CASE WHEN swap THEN next_pos ELSE pos END AS pos, CASE WHEN swap THEN path ELSE next_path END AS path_b, CASE WHEN swap THEN pos - next_pos ELSE next_pos - pos END AS shift
+  FROM (SELECT *, path > next_path OR (path = next_path AND pos > next_pos) AS swap FROM e)),
+d AS (SELECT DISTINCT path_a, path_b, shift FROM lk),
+m AS (SELECT d.*, a.pos, a.start_line, a.end_line, b.start_line AS b_start, b.end_line AS b_end, lk.pos IS NOT NULL AS link FROM d JOIN o a ON a.path = d.path_a JOIN o b ON b.path = d.path_b AND b.pos = a.pos + d.shift AND b.hash = a.hash
+  LEFT JOIN lk ON lk.path_a = d.path_a AND lk.path_b = d.path_b AND lk.shift = d.shift AND lk.pos = a.pos),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY path_a, path_b, shift ORDER BY pos) AS island FROM m),
+k AS (SELECT path_a, path_b, min(start_line) AS start_a, max(end_line) AS end_a, min(b_start) AS start_b, max(b_end) AS end_b, count(*) + {WINDOW - 1} AS token_count FROM r GROUP BY path_a, path_b, shift, island HAVING bool_or(link)),
+s AS (SELECT *, row_number() OVER (PARTITION BY path_a ORDER BY start_a, path_b, start_b, end_a, end_b, token_count) AS i FROM k),
+fo AS (SELECT path_a, path_b, start_a, end_a, start_b, end_b, token_count, i, 1 AS g FROM s WHERE i = 1
+  UNION ALL SELECT s.path_a, s.path_b, CASE WHEN joins THEN fo.start_a ELSE s.start_a END, CASE WHEN joins THEN greatest(fo.end_a, s.end_a) ELSE s.end_a END, CASE WHEN joins THEN least(fo.start_b, s.start_b) ELSE s.start_b END,
+    CASE WHEN joins THEN greatest(fo.end_b, s.end_b) ELSE s.end_b END, CASE WHEN joins THEN fo.token_count + s.token_count ELSE s.token_count END, s.i, CASE WHEN joins THEN fo.g ELSE fo.g + 1 END
+  FROM fo JOIN s ON s.path_a = fo.path_a AND s.i = fo.i + 1, LATERAL (SELECT s.path_b = fo.path_b AND s.start_a <= fo.end_a + 1 AND s.start_b <= fo.end_b + 1 AS joins) AS x),
+blocks AS (SELECT path_a, path_b, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, CAST(start_b AS BIGINT) AS start_b, CAST(end_b AS BIGINT) AS end_b, CAST(token_count AS BIGINT) AS token_count, CAST(end_a - start_a + 1 AS BIGINT) AS line_count
+  FROM fo QUALIFY row_number() OVER (PARTITION BY path_a, g ORDER BY i DESC) = 1)"""
+
 ORACLES = {
+    "dup_blocks_merged": f"WITH RECURSIVE {_BLOCKS} SELECT * FROM blocks",
+    "dup_largest_blocks": f"WITH RECURSIVE {_BLOCKS} SELECT * FROM blocks ORDER BY line_count DESC, path_a, start_a, path_b, start_b LIMIT 100",
     "diff_status_interval": "WITH h AS (SELECT o_orderkey, o_custkey % 6 + 1 AS s, o_custkey % 6 + o_orderkey % 3 AS e FROM orders WHERE o_orderkey % 3 > 0), m AS (SELECT l_linenumber, l_partkey, CASE WHEN EXISTS (SELECT 1 FROM h WHERE o_orderkey = l_orderkey AND l_linenumber + l_partkey % 3 >= s AND l_linenumber <= e) THEN 'new' ELSE 'context' END AS diff_status FROM lineitem) SELECT diff_status, l_linenumber, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM m GROUP BY ALL",
     "diff_counts": "SELECT count(*) FILTER (WHERE n) AS new_findings, count(*) FILTER (WHERE NOT n) AS context_findings FROM (SELECT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderkey % 3 > 0 AND l_linenumber >= 2 AND l_linenumber <= 1 + o_orderkey % 3) AS n FROM lineitem)",
     "changed_files_prune": "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderpriority LIKE '1%') GROUP BY ALL",

@@ -285,6 +285,16 @@ def test_duplicates(spark):  # noqa: ANN001
     assert duplication.windows(tokens, 40).count() == 0
 
 
+def test_a_block_is_whole_where_a_third_file_shares_its_start(spark):  # noqa: ANN001
+    lines = [f"t{k}" for k in range(8)]
+    files = [("a", "\n".join(lines)), ("b", "\n".join(lines[:4])), ("c", "\n".join(lines))]
+    tokens = duplication.word_tokens(spark.createDataFrame(files, "path string, text string"))
+    blocks = duplication.diagonals(duplication.windows(tokens, 3), 3).collect()
+    found = {(r["path_a"], r["path_b"]): (r["start_a"], r["end_a"], r["start_b"], r["end_b"], r["token_count"]) for r in blocks}
+    assert found["a", "c"] == (0, 7, 0, 7, 8)
+    assert {found[k] for k in found if "b" in k} == {(0, 3, 0, 3, 4)} and len(found) == len(blocks)
+
+
 def test_reports(spark, tmp_path):  # noqa: ANN001
     rows = spark.createDataFrame([finding(2, 9, severity="low"), finding(1, 3)], FINDING)
     log = sinks.event_lines(rows, policy.gate(rows, policy.default_thresholds(spark)))
