@@ -43,8 +43,9 @@ SHINGLE, SHARE = 3, 85
 K, MATCHES = 48, {85: 24, 80: 21}
 #: Longer lists are dealt to blocks of about so many rows, and pairs of blocks meet in a task.
 BLOCK = 2048
-#: Rows that are compared with the rest of a block at once.
-STEP = 256
+#: Rows that are compared with the rest of a block at once; lists up to SHORT rows are compared with others of
+#: their size; rows that are read at once, more than a pair of blocks has.
+STEP, SHORT, PACK = 256, 24, 1 << 14
 #: How often documents look for a partner in another component by signatures, after the first time.
 SIGNATURE_ROUNDS = 1
 #: Rounds by prefixes end when at most one proposal in so many is confirmed.
@@ -148,57 +149,81 @@ def in_blocks(rows: DataFrame, count: Column) -> DataFrame:
     )
 
 
-def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """The rows of each (token, x, y) that has several, from rows sorted by these."""
-    held: list[pa.RecordBatch] = []
+def packs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """Runs of whole lists from rows sorted by token, x and y: their columns, where lists start, and their sizes.
+
+    Lists of one row or of one component are left out. tried_a and tried_b are the rows of pairs of a list
+    that were tried before, both ways, in the order of tried_a.
+    """
 
-    def starts_of(rows: pa.Table | pa.RecordBatch) -> np.ndarray:
+    def starts_of(rows: pa.Table) -> np.ndarray:
         changes = np.zeros(rows.num_rows, bool)
+        changes[0] = True
         for c in ("token", "x", "y"):
-            values = rows.column(c).to_numpy()
+            values = rows[c].to_numpy()
             changes[1:] |= values[1:] != values[:-1]
-        changes[0] = True
         return np.flatnonzero(changes)
 
-    def groups(rows: pa.Table) -> Iterator[dict[str, np.ndarray]]:
-        starts = starts_of(rows)
+    def pack(rows: pa.Table) -> dict[str, np.ndarray] | None:
+        starts, comp = starts_of(rows), rows["comp"].to_numpy()
         sizes = np.diff(starts, append=rows.num_rows)
-        several = sizes > 1
-        if not several.any():
-            return
-        rows = rows.filter(pa.array(np.repeat(several, sizes)))
-        flat = {c: rows[c].to_numpy() for c in rows.column_names if c not in ("sig", "tried")}
+        mixed = np.minimum.reduceat(comp, starts) != np.maximum.reduceat(comp, starts)
+        if not mixed.any():
+            return None
+        rows, sizes = rows.filter(pa.array(np.repeat(mixed, sizes))), sizes[mixed]
+        out = {c: rows[c].to_numpy() for c in rows.column_names if c not in ("sig", "tried")}
+        out |= {"sizes": sizes, "starts": np.cumsum(sizes) - sizes}
         if "sig" in rows.column_names:
-            flat["sig"] = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, K)
+            out["sig"] = np.frombuffer(b"".join(rows["sig"].to_pylist()), np.uint8).reshape(-1, K)
+        none = np.zeros(0, np.int64)
+        out |= {"tried_a": none, "tried_b": none}
         if "tried" in rows.column_names:
-            flat["tried"] = np.fromiter(rows["tried"].to_pylist(), object, rows.num_rows)
-        sizes = sizes[several]
-        for stop, n in zip(np.cumsum(sizes).tolist(), sizes.tolist(), strict=True):
-            yield {c: v[stop - n : stop] for c, v in flat.items()}
-
-    def key(batch: pa.RecordBatch, at: int) -> tuple:
-        return tuple(batch.column(c)[at].as_py() for c in ("token", "x", "y"))
+            tried = rows["tried"].combine_chunks()
+            lengths = pc.fill_null(pc.list_value_length(tried), 0).to_numpy().astype(np.int64)
+            out |= _tried(out["cid"], np.repeat(np.arange(len(sizes)), sizes), lengths, tried.flatten().to_numpy())
+        return out
 
+    held: list[pa.RecordBatch] = []
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        last = int(starts_of(batch)[-1])
-        if last or (held and key(held[-1], -1) != key(batch, 0)):
-            yield from groups(pa.Table.from_batches([*held, batch.slice(0, last)] if last else held))
-            held = []
-        held.append(batch.slice(last))
-    if held:
-        yield from groups(pa.Table.from_batches(held))
-
-
-def agreements(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """In how many coordinates each row of ``a`` agrees with each row of ``b``."""
-    if len(a) * len(b) <= 1024:
-        return (a[:, None, :] == b[None, :, :]).sum(2)
-    total = np.zeros((len(a), len(b)), np.uint8)
-    for x, y in zip(np.ascontiguousarray(a.T), np.ascontiguousarray(b.T), strict=True):
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= PACK:
+            rows = pa.Table.from_batches(held)
+            last = int(starts_of(rows)[-1])
+            if last:
+                held = rows.slice(last).to_batches()
+                if made := pack(rows.slice(0, last)):
+                    yield made
+    if held and (made := pack(pa.Table.from_batches(held))):
+        yield made
+
+
+def _tried(cid: np.ndarray, of: np.ndarray, lengths: np.ndarray, tried: np.ndarray) -> dict[str, np.ndarray]:
+    """The rows of pairs that were tried before; of: each row's list, lengths: how many partners it tried."""
+    names = np.unique(cid)
+    one = np.repeat(np.arange(len(cid)), lengths)
+    at = np.minimum(np.searchsorted(names, tried), len(names) - 1)
+    known = names[at] == tried
+    one, at = one[known], at[known]
+    keys = of * len(names) + np.searchsorted(names, cid)
+    order = np.argsort(keys, kind="stable")
+    asked = of[one] * len(names) + at
+    spot = np.minimum(np.searchsorted(keys, asked, sorter=order), len(keys) - 1)
+    other = order[spot]
+    here = keys[other] == asked
+    a, b = np.concatenate([one[here], other[here]]), np.concatenate([other[here], one[here]])
+    order = np.argsort(a, kind="stable")
+    return {"tried_a": a[order], "tried_b": b[order]}
+
+
+def agreements(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many coordinates rows ``a`` agree with rows ``b``; rows of pairs are found by broadcasting."""
+    if a.ndim > 2:
+        return (sig[a] == sig[b]).sum(-1)
+    total = np.zeros((a.shape[0], b.shape[1]), np.uint8)
+    for x, y in zip(np.ascontiguousarray(sig[a[:, 0]].T), np.ascontiguousarray(sig[b[0]].T), strict=True):
         total += x[:, None] == y[None, :]
-    return total
+    return total.astype(np.int64)
 
 
 def by_signature(share: int) -> Score:
@@ -206,8 +231,8 @@ def by_signature(share: int) -> Score:
     least = matches(share)
 
     def score(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        agree = agreements(rows["sig"][a], rows["sig"][b]).astype(np.int64)
-        x, y = rows["n"][a][:, None], rows["n"][b][None, :]
+        agree = agreements(rows["sig"], a, b)
+        x, y = rows["n"][a], rows["n"][b]
         return np.where((agree >= least) & (100 * np.minimum(x, y) >= share * np.maximum(x, y)), agree, 0)
 
     return score
@@ -218,7 +243,7 @@ def by_prefix(share: int) -> Score:
 
     def score(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
         n, left = rows["n"], rows["n"] - rows["pos"] + 1
-        spare = np.minimum(left[a][:, None], left[b][None, :]) - least_overlap(n[a][:, None], n[b][None, :], share)
+        spare = np.minimum(left[a], left[b]) - least_overlap(n[a], n[b], share)
         return np.maximum(spare + 1, 0)
 
     return score
@@ -229,74 +254,95 @@ def partners(score: Score, share: int, want: str):  # noqa: ANN201
 
     want: ``best`` for each row's best partner, ``each`` for the best in each component (``into``), both without
     the rows of the list's largest component, which are met from the others' side; ``any`` for the best of all
-    rows; ``every`` for all pairs, the smaller identifier first. Rows come by size, so each is compared with a
-    run of the list only.
+    rows; ``every`` for all pairs, the smaller identifier first. Short lists of one size are compared
+    together; in a long one rows come by size, so each is compared with a run of the list only.
     """
 
-    def allowed(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        value = score(rows, a, b)
-        value[rows["comp"][a][:, None] == rows["comp"][b][None, :]] = 0
-        if "tried" in rows and value.any():
-            for k in np.flatnonzero([t is not None for t in rows["tried"][a]]).tolist():
-                value[k, np.isin(rows["cid"][b], rows["tried"][a[k]])] = 0
-            for k in np.flatnonzero([t is not None for t in rows["tried"][b]]).tolist():
-                value[np.isin(rows["cid"][a], rows["tried"][b[k]]), k] = 0
-        return value
-
-    def chosen(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, ...]:
-        value = allowed(rows, a, b)
+    def chosen(rows: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, ...]:
+        """a, b: rows along the axes of ``value``, whose last one is the partners'."""
+        a, b = (np.broadcast_to(x, value.shape).reshape(-1, value.shape[-1]) for x in (a, b))
+        value = value.reshape(a.shape)
         if want in ("best", "any"):
             j = value.argmax(1)
-            i = np.flatnonzero(value[np.arange(len(a)), j])
-            j = j[i]
+            i = np.flatnonzero(value[np.arange(len(value)), j])
+            at = i, j[i]
         else:
             i, j = np.nonzero(value)
             if want == "every":
-                keep = rows["cid"][a[i]] < rows["cid"][b[j]]
+                keep = rows["cid"][a[i, j]] < rows["cid"][b[i, j]]
             else:
-                order = np.lexsort((-value[i, j], rows["comp"][b[j]], i))
+                order = np.lexsort((-value[i, j], rows["comp"][b[i, j]], i))
                 i, j = i[order], j[order]
-                into = rows["comp"][b[j]]
+                into = rows["comp"][b[i, j]]
                 keep = np.ones(len(i), bool)
                 keep[1:] = (i[1:] != i[:-1]) | (into[1:] != into[:-1])
-            i, j = i[keep], j[keep]
-        return rows["cid"][a[i]], rows["cid"][b[j]], rows["comp"][b[j]], value[i, j]
+            at = i[keep], j[keep]
+        a, b = a[at], b[at]
+        return rows["cid"][a], rows["cid"][b], rows["comp"][b], value[at]
+
+    def short(rows: dict[str, np.ndarray], m: int) -> Iterator[tuple[np.ndarray, ...]]:
+        starts = rows["starts"][rows["sizes"] == m]
+        step = max(1, (1 << 22) // (m * m * K))
+        for at in range(0, len(starts), step):
+            of = starts[at : at + step, None] + np.arange(m)
+            a, b = of[:, :, None], of[:, None, :]
+            value = score(rows, a, b)
+            comp = rows["comp"]
+            alike = comp[a] == comp[b]
+            value[alike] = 0
+            # lists in two blocks are compared across them only
+            value[(rows["x"][a] != rows["y"][a]) & (rows["block"][a] == rows["block"][b])] = 0
+            if want in ("best", "each"):
+                many = alike.sum(2)
+                top = np.take_along_axis(comp[of], many.argmax(1)[:, None], 1)
+                value[(comp[of] == top) & (many.max(1) > 1)[:, None]] = 0
+            low, high = np.searchsorted(rows["tried_a"], (of[0, 0], of[-1, -1] + 1))
+            if high > low:
+                i, j = rows["tried_a"][low:high], rows["tried_b"][low:high]
+                line = np.searchsorted(of[:, 0], i, "right") - 1
+                inside = (i - of[line, 0] < m) & (j - of[line, 0] < m)
+                line, i, j = line[inside], i[inside], j[inside]
+                value[line, i - of[line, 0], j - of[line, 0]] = 0
+            yield chosen(rows, a, b, value)
+
+    def long(rows: dict[str, np.ndarray], start: int, size: int) -> Iterator[tuple[np.ndarray, ...]]:
+        whole = np.arange(start, start + size)
+        comp, block, n = (rows[c][whole] for c in ("comp", "block", "n"))
+        asks = np.ones(size, bool)
+        if want in ("best", "each"):
+            names, sizes = np.unique(comp, return_counts=True)
+            if sizes.max() > 1:
+                asks = comp != names[sizes.argmax()]
+        x, y = rows["x"][start], rows["y"][start]
+        one, two = block == x, block == y
+        low, high = np.searchsorted(rows["tried_a"], (start, start + size))
+        tried_a, tried_b = rows["tried_a"][low:high] - start, rows["tried_b"][low:high] - start
+        for mine, theirs in ((one, two),) if x == y else ((one, two), (two, one)):
+            asked, among = np.flatnonzero(mine & asks), np.flatnonzero(theirs)
+            for at in range(0, len(asked), STEP):
+                a = asked[at : at + STEP]
+                low = np.searchsorted(n[among], -(-n[a[0]] * share // 100), "left")
+                high = np.searchsorted(n[among], n[a[-1]] * 100 // share, "right")
+                b = among[low:high]
+                if not len(b):
+                    continue
+                value = score(rows, whole[a][:, None], whole[b][None, :])
+                value[comp[a][:, None] == comp[b][None, :]] = 0
+                place = np.full((2, size), -1)
+                place[0, a], place[1, b] = np.arange(len(a)), np.arange(len(b))
+                i, j = place[0, tried_a], place[1, tried_b]
+                met = (i >= 0) & (j >= 0)
+                value[i[met], j[met]] = 0
+                yield chosen(rows, whole[a][:, None], whole[b][None, :], value)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[np.ndarray, ...]] = []
-        held = 0
-
-        def batch() -> pa.RecordBatch:
+        for rows in packs(batches):
+            out = [f for m in np.unique(rows["sizes"]).tolist() if m <= SHORT for f in short(rows, m)]
+            for k in np.flatnonzero(rows["sizes"] > SHORT).tolist():
+                out += long(rows, int(rows["starts"][k]), int(rows["sizes"][k]))
             columns = [np.concatenate(c).astype(np.int64) for c in zip(*out, strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["cid", "other", "into", "score"])
-
-        for rows in lists(batches):
-            n, comp = rows["n"], rows["comp"]
-            if (comp == comp[0]).all():
-                continue
-            asks = np.ones(len(comp), bool)
-            if want in ("best", "each"):
-                names, sizes = np.unique(comp, return_counts=True)
-                if sizes.max() > 1:
-                    asks = comp != names[sizes.argmax()]
-            x, y = rows["x"][0], rows["y"][0]
-            one, two = rows["block"] == x, rows["block"] == y
-            for mine, theirs in ((one, two),) if x == y else ((one, two), (two, one)):
-                asked, among = np.flatnonzero(mine & asks), np.flatnonzero(theirs)
-                for at in range(0, len(asked), STEP):
-                    a = asked[at : at + STEP]
-                    low = np.searchsorted(n[among], -(-n[a[0]] * share // 100), "left")
-                    high = np.searchsorted(n[among], n[a[-1]] * 100 // share, "right")
-                    found = chosen(rows, a, among[low:high]) if high > low else ((),)
-                    if len(found[0]):
-                        out.append(found)
-                        held += len(found[0])
-            if held > 20_000:
-                yield batch()
-                out.clear()
-                held = 0
-        if out:
-            yield batch()
+            for at in range(0, len(columns[0]) if columns else 0, 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at : at + 20_000]) for c in columns], ["cid", "other", "into", "score"])
         release()
 
     return find
