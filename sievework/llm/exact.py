@@ -1,6 +1,7 @@
 """Operator 4: exact deduplication by a log-structured merge index.
 
-Digests of normalised texts go into memtables, which are flushed as sorted runs, each with a filter; runs
+Digests of normalised texts go into memtables, which are flushed as sorted runs, each with a filter; a flush
+asks the filters of older runs, and digests that one holds are hits, counted there. Runs
 are compacted, level by level, keeping the smallest identifier (or, by the sign given to identifiers, the
 largest) and the number of rows of each digest. Every input partition builds an index of its own first,
 so that a text that fills a third of the table reaches the shuffle once a partition; the partitions'
@@ -43,19 +44,22 @@ class Run:
     def __init__(self, entries: list[Entry]):
         self.entries, self.digests = entries, [e[0] for e in entries]
         self.size = max(64, 10 * len(entries))
-        self.filter = bytearray(self.size // 8 + 1)
-        for d in self.digests:
-            for p in self._places(d):
-                self.filter[p >> 3] |= 1 << (p & 7)
+        self.filter = np.zeros(self.size // 8 + 1, np.uint8)
+        spots = self._spots(self.digests)
+        np.bitwise_or.at(self.filter, spots >> 3, np.uint8(1) << (spots & 7).astype(np.uint8))
 
-    def _places(self, digest: bytes) -> list[int]:
-        return [int.from_bytes(digest[k : k + 8], "big") % self.size for k in (0, 8, 16)]
+    def _spots(self, digests: list[bytes]) -> np.ndarray:
+        """Three bits of each digest."""
+        parts = np.frombuffer(b"".join(d[:24].ljust(24, b"\0") for d in digests), "<u8").reshape(-1, 3)
+        return (parts % np.uint64(self.size)).astype(np.int64)
 
-    def get(self, digest: bytes) -> Entry | None:
-        if not all(self.filter[p >> 3] >> (p & 7) & 1 for p in self._places(digest)):
-            return None
+    def may_hold(self, digests: list[bytes]) -> np.ndarray:
+        spots = self._spots(digests)
+        return ((self.filter[spots >> 3] >> (spots & 7).astype(np.uint8)) & 1).all(1)
+
+    def place(self, digest: bytes) -> int | None:
         at = bisect_left(self.digests, digest)
-        return self.entries[at] if at < len(self.digests) and self.digests[at] == digest else None
+        return at if at < len(self.digests) and self.digests[at] == digest else None
 
 
 def merged(runs: list[list[Entry]]) -> Iterator[Entry]:
@@ -78,6 +82,15 @@ class Index:
             self.flush()
 
     def flush(self) -> None:
+        """The memtable as a run; digests that an older run holds, by its filter and then by search, are hits and stay there."""
+        for run in (r for level in self.levels for r in level):
+            if not self.memtable:
+                return
+            names = list(self.memtable)
+            for k in np.flatnonzero(run.may_hold(names)).tolist():
+                if (at := run.place(names[k])) is not None:
+                    held, new = run.entries[at], self.memtable.pop(names[k])
+                    run.entries[at] = (names[k], *min(held[1:3], new[:2]), held[3] + new[2])
         if not self.memtable:
             return
         run, self.memtable = sorted((d, *e) for d, e in self.memtable.items()), {}
@@ -96,7 +109,8 @@ class Index:
 
     def get(self, digest: bytes) -> Entry | None:
         found = [(digest, *self.memtable[digest])] if digest in self.memtable else []
-        found += [e for level in self.levels for r in level if (e := r.get(digest))]
+        runs = [r for level in self.levels for r in level if r.may_hold([digest])[0]]
+        found += [r.entries[at] for r in runs if (at := r.place(digest)) is not None]
         return next(merged([[e] for e in found]), None)
 
 
