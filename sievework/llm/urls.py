@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, cut
+from .common import bounded, cut, fresh
 
 #: (rule, verdict): host and path prefix; the longest that fits wins.
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
@@ -112,6 +112,7 @@ def cascades(keys: DataFrame, listed: DataFrame, shard_keys: int = SHARD_KEYS) -
         keys.select("key", F.lit(False).alias("in")).unionByName(listed.select("key", F.lit(True).alias("in")))
         .where(F.col("key").isNotNull()).groupBy("key").agg(F.max("in").alias("in")).select(*_hashes(F.col("key")), "in")
     )
+    universe = cut(universe)  # counted and built from
     count = universe.count()
     shards = max(1, -(-count // shard_keys))
 
@@ -133,8 +134,8 @@ def with_listed(df: DataFrame, made: DataFrame, key: str, name: str = "listed",
     """Adds the column ``name``: whether ``df[key]`` is listed.
 
     The cascades are measured, dealt into lots of at most ``at_once`` bytes, and each lot is broadcast in
-    a pass of its own; a pass over one lot is written before the next one begins. Lists of some hundred
-    million keys fit in one lot.
+    a pass of its own; a pass over one lot is written before the next one begins. At one listed key in ten,
+    32 MB hold some 29 million listed keys (9.3 bits each).
     """
     sizes = made.select("shard", "shards", F.expr("aggregate(levels, 0L, (n, x) -> n + length(x.data))").alias("n")).orderBy("shard").toLocalIterator()
     lots, held, shards = [[]], 0, 1
@@ -144,27 +145,32 @@ def with_listed(df: DataFrame, made: DataFrame, key: str, name: str = "listed",
             lots, held = [*lots, []], 0
         lots[-1].append(row["shard"])
         held += row["n"]
-    df = df.withColumn(name, F.lit(False)).withColumns({"_h1": F.xxhash64(key), "_h2": F.xxhash64(F.lit(7), key)})
+    hashes = fresh(df, "h1", "h2")
+    df = df.withColumn(name, F.lit(False)).withColumns(dict(zip(hashes, (F.xxhash64(key), F.xxhash64(F.lit(7), key)), strict=True)))
     for k, lot in enumerate(lots):
         rows = made.where(F.col("shard").isin(lot)).select("shard", "levels").collect() if lot else []
         shared = df.sparkSession.sparkContext.broadcast({r["shard"]: [(x["bits"], x["hashes"], bytes(x["data"])) for x in r["levels"]] for r in rows})
         place, at = df.columns.index(name), shards
 
         def judge(batches: Iterator[pa.RecordBatch], shared=shared, place=place, at=at) -> Iterator[pa.RecordBatch]:
-            ready = {s: Cascade(x) for s, x in shared.value.items()}
+            held, ready = shared.value, {}
             for batch in batches:
-                h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in ("_h1", "_h2"))
+                h1, h2 = (batch.column(c).to_numpy().view(np.uint64) for c in hashes)
                 found = batch.column(name).to_numpy(zero_copy_only=False).astype(bool).copy()
                 of = np.mod(h2.view(np.int64), at)
-                for s, cascade in ready.items():
-                    if len(own := np.flatnonzero(of == s)):
-                        found[own] = cascade.has(h1[own], h2[own])
+                order = np.argsort(of, kind="stable")
+                names, starts = np.unique(of[order], return_index=True)
+                for s, own in zip(names.tolist(), np.split(order, starts[1:]), strict=True):  # the shards that are present
+                    if s in held:
+                        if s not in ready:
+                            ready[s] = Cascade(held[s])
+                        found[own] = ready[s].has(h1[own], h2[own])
                 yield batch.set_column(place, name, pa.array(found))
 
         df = df.mapInArrow(judge, df.schema)
         if k + 1 < len(lots):
             df = cut(df)
-    return df.drop("_h1", "_h2")
+    return df.drop(*hashes)
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: tuple = RULES) -> DataFrame:
