@@ -290,7 +290,15 @@ fo AS (SELECT path_a, path_b, start_a, end_a, start_b, end_b, token_count, i, 1
 blocks AS (SELECT path_a, path_b, CAST(start_a AS BIGINT) AS start_a, CAST(end_a AS BIGINT) AS end_a, CAST(start_b AS BIGINT) AS start_b, CAST(end_b AS BIGINT) AS end_b, CAST(token_count AS BIGINT) AS token_count, CAST(end_a - start_a + 1 AS BIGINT) AS line_count
   FROM fo QUALIFY row_number() OVER (PARTITION BY path_a, g ORDER BY i DESC) = 1)"""
 
+#: Taint as SQL: which definition reaches each use is fixed, so what it taints is reachability from the tainted ones.
+_TAINT = """d AS MATERIALIZED (SELECT row_number() OVER () AS id, l_orderkey AS fn, 'v' || l_linenumber AS name, l_linenumber AS line, CAST(l_partkey AS INT) AS ord, CASE WHEN l_tax > 0.06 THEN 'clean' WHEN l_linenumber = 1 AND l_discount > 0.03 THEN 'tainted' ELSE 'unknown' END AS state FROM lineitem),
+u AS (SELECT DISTINCT l_orderkey AS fn, 'v' || (l_linenumber - 1) AS name, l_linenumber AS line FROM lineitem WHERE l_linenumber > 1),
+r AS (SELECT u.fn, u.line AS at, arg_max(d.id, d.line * 10000000000 + d.ord) AS src, max(d.line) AS since FROM u JOIN d ON d.fn = u.fn AND d.name = u.name AND d.line <= u.line GROUP BY u.fn, u.name, u.line),
+way AS (SELECT src, e.id AS dst FROM r JOIN d e ON e.fn = r.fn AND e.line = r.at AND e.state = 'unknown' AND e.line > since),
+t AS (SELECT id FROM d WHERE state = 'tainted' UNION SELECT dst FROM t JOIN way ON src = t.id)"""
+
 ORACLES = {
+    "taint_fixpoint": f"WITH RECURSIVE {_TAINT} SELECT CASE WHEN t.id IS NULL THEN d.state ELSE 'tainted' END AS state, d.line AS def_line, count(*) AS n FROM d LEFT JOIN t ON t.id = d.id GROUP BY ALL",
     "dup_blocks_merged": f"WITH RECURSIVE {_BLOCKS} SELECT * FROM blocks",
     "dup_largest_blocks": f"WITH RECURSIVE {_BLOCKS} SELECT * FROM blocks ORDER BY line_count DESC, path_a, start_a, path_b, start_b LIMIT 100",
     "diff_status_interval": "WITH h AS (SELECT o_orderkey, o_custkey % 6 + 1 AS s, o_custkey % 6 + o_orderkey % 3 AS e FROM orders WHERE o_orderkey % 3 > 0), m AS (SELECT l_linenumber, l_partkey, CASE WHEN EXISTS (SELECT 1 FROM h WHERE o_orderkey = l_orderkey AND l_linenumber + l_partkey % 3 >= s AND l_linenumber <= e) THEN 'new' ELSE 'context' END AS diff_status FROM lineitem) SELECT diff_status, l_linenumber, count(*) AS n, CAST(sum(l_partkey) AS BIGINT) AS parts FROM m GROUP BY ALL",
