@@ -102,6 +102,8 @@ class _Tree:
                     self.many(own, "argument_list", "superclasses", node.bases)
                 else:
                     self.parameters(own, node.args)
+                    if node.returns:
+                        self.many(own, "type", "return_type", [node.returns])
                 self.many(own, "block", "body", node.body)
             case ast.Lambda():
                 self.parameters(own, node.args)
