@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import data_queries, function_queries, pattern_queries, scan_queries
+from .plans import data_queries, function_queries, pattern_queries, rule_queries, scan_queries
 
-MODULES = (scan_queries, data_queries, function_queries, pattern_queries)
+MODULES = (scan_queries, data_queries, function_queries, pattern_queries, rule_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
