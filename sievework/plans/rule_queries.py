@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks, text
 from ..operators import duplication, findings, metrics, supply, taint
+from ..sources import ignores
 from .scan_queries import table
 
 
@@ -64,7 +65,25 @@ def file_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.file_maxima(rows)
 
 
+_IGNORES = {
+    ".gitignore": "# logs\n*.log\n/a2/b1\n",
+    "a0/.gitignore": "!*1.log\nb3/\n",
+    "a0/b0/.ignore": "*.py\n!10*.py\n",
+}
+
+
+def nested_ignores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as files in folders by size, with ignore files at three levels: what they leave out."""
+    path = F.expr("concat('a', p_size % 3, '/b', p_size % 4, '/', p_partkey, elt(p_partkey % 3 + 1, '.py', '.log', '.txt'))")
+    held = spark.createDataFrame(list(_IGNORES.items()), "relative_path string, content string")
+    held = held.withColumn("content", F.encode("content", "utf-8"))
+    return ignores.ignored(table(spark, sf_dir, "part").select(path.alias("relative_path")), ignores.rules(held))
+
+
 ORACLES = {
+    "nested_ignores": """WITH f AS (SELECT 'a' || (p_size % 3) AS a, 'b' || (p_size % 4) AS b, CAST(p_partkey AS VARCHAR) AS k, ['.py', '.log', '.txt'][p_partkey % 3 + 1] AS e FROM part)
+      SELECT a || '/' || b || '/' || k || e AS relative_path FROM f WHERE (a = 'a2' AND b = 'b1') OR (a = 'a0' AND b = 'b3') OR (e = '.log' AND NOT (a = 'a0' AND ends_with(k, '1')))
+      OR (e = '.py' AND a = 'a0' AND b = 'b0' AND NOT starts_with(k, '10'))""",
     "valid_line_ranges": """WITH r AS (SELECT l_orderkey, l_returnflag, l_linenumber - 1 AS start_line, l_suppkey % 5 AS start_col, l_partkey % 6 AS end_line, CAST(l_quantity AS INT) % 7 AS end_col FROM lineitem)
       SELECT l_returnflag, start_line, end_line, count(*) AS n, CAST(sum(l_orderkey) AS BIGINT) AS orders FROM r WHERE least(start_line, start_col, end_line, end_col) >= 1 AND (end_line, end_col) >= (start_line, start_col) GROUP BY ALL""",
     "vulnerability_levels": "SELECT p_partkey, CASE WHEN p_size % 6 < 2 THEN 'critical' WHEN p_size % 6 < 5 THEN 'high' ELSE 'medium' END AS severity FROM part",
@@ -76,4 +95,4 @@ ORACLES = {
     "first_snippet_lines": "SELECT doc_id, sha256(array_to_string(string_split(replace(coalesce(text, ''), ' ', chr(10)), chr(10))[1:10], chr(10))) AS snippet FROM documents",
     "file_maxima": "SELECT CAST(l_orderkey AS VARCHAR) AS path, max(l_partkey % 40) AS max_cyclomatic, max(l_suppkey % 60) AS max_cognitive, count(*) AS functions FROM lineitem GROUP BY ALL",
 }
-QUERIES = {f.__name__: f for f in (valid_line_ranges, vulnerability_levels, normal_tokens, declared_states, clean_callees, stale_databases, advisory_info, first_snippet_lines, file_maxima)}
+QUERIES = {f.__name__: f for f in (valid_line_ranges, vulnerability_levels, normal_tokens, declared_states, clean_callees, stale_databases, advisory_info, first_snippet_lines, file_maxima, nested_ignores)}

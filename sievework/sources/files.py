@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from . import ignores
 
 #: Languages by extension (case counts).
 LANGUAGES = {
@@ -52,12 +53,23 @@ def is_binary(content: Column) -> Column:
     return F.position(F.lit(bytes(1)), F.substring(content, 1, SNIFFED)) > 0
 
 
-def read_tree(spark: SparkSession, root: str) -> DataFrame:
-    """path, relative_path and content of the files below a folder that aren't hidden."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def relative_to(root: str) -> Column:
+    """The column ``path`` from a folder on."""
     base = "file:" + str(Path(root).resolve()) if "://" not in root and not root.startswith("file:") else root.rstrip("/")
-    relative = F.expr(f"substring(path, length('{base}') + 2)")
-    return files.select("path", relative.alias("relative_path"), "content").where(~F.col("relative_path").rlike(r"(^|/)\."))
+    return F.substring(F.col("path"), F.lit(len(base) + 2), F.length("path"))
+
+
+def read_tree(spark: SparkSession, root: str, nested_ignores: bool = True) -> DataFrame:
+    """path, relative_path and content of the files below a folder that aren't hidden or left out by an ignore file.
+
+    nested_ignores: look for ignore files in every folder.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    rows = files.select("path", relative_to(root).alias("relative_path"), "content").where(~F.col("relative_path").rlike(r"(^|/)\."))
+    if nested_ignores:
+        held = ignores.rules(ignores.read_ignore_files(spark, root))
+        rows = rows.join(ignores.ignored(rows.select("relative_path"), held), "relative_path", "left_anti").select("path", "relative_path", "content")
+    return rows
 
 
 def ignore_patterns(lines: list[str]) -> tuple[list[str], list[str]]:

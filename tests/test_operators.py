@@ -285,6 +285,19 @@ def test_duplicates(spark):  # noqa: ANN001
     assert duplication.windows(tokens, 40).count() == 0
 
 
+def test_a_tree_is_read_without_what_its_folders_ignore(spark, tmp_path):  # noqa: ANN001
+    made = {
+        "a.py": "", "b.log": "", ".gitignore": "*.log\nout/\n!keep.log\n", "keep.log": "", "out/x.py": "", "sub/out/keep.log": "", "sub/.gitignore": "!b.log\n/c.py\n",
+        "sub/b.log": "", "sub/c.py": "", "sub/deep/c.py": "", ".hidden/x.py": "",
+    }
+    for name, content in made.items():
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(content or "x")
+    read = lambda **k: sorted(r["relative_path"] for r in files.read_tree(spark, str(tmp_path), **k).collect())
+    assert read() == ["a.py", "keep.log", "sub/b.log", "sub/deep/c.py"]
+    assert read(nested_ignores=False) == sorted(n for n in made if "/." not in f"/{n}")
+
+
 def test_a_block_is_whole_where_a_third_file_shares_its_start(spark):  # noqa: ANN001
     lines = [f"t{k}" for k in range(8)]
     files = [("a", "\n".join(lines)), ("b", "\n".join(lines[:4])), ("c", "\n".join(lines))]
