@@ -143,15 +143,16 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, times: int = MOST
     rows = queued(docs, weights, times)
     last = last_taken(rows, times)
     place = F.struct("key", "doc_id", "size")
-    no_source, name, copy, *end = fresh(docs, "no_source", "name", "copy", *(f"end{t}" for t in range(times)))
+    no_source, name, copy, spot, *end = fresh(docs, "no_source", "name", "copy", "spot", *(f"end{t}" for t in range(times)))
     ends = [F.max(F.when(_times(last, t + 1) > t, place)).alias(end[t]) for t in range(times)]
     ends = cut(rows.groupBy(F.col("no_source").alias(no_source), F.col("name").alias(name)).agg(*ends))
     if ends.count() <= FEW_SOURCES:
         ends = F.broadcast(ends)
-    own = F.struct(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size"))
-    fits = [F.when((own["size"] > 0) & (own <= F.col(e)), 1).otherwise(0) for e in end]
+    # the place is worked out before the join, so that words are counted once a row
+    placed = docs.withColumn(spot, F.struct(_key().alias("key"), F.col("doc_id").cast("long").alias("doc_id"), _size().alias("size")))
+    fits = [F.when((F.col(spot)["size"] > 0) & (F.col(spot) <= F.col(e)), 1).otherwise(0) for e in end]
     same = (F.col("source").isNull() == F.col(no_source)) & (F.coalesce("source", F.lit("")) == F.col(name))
-    each = docs.join(ends, same).withColumn(copy, F.explode(F.array_repeat(F.lit(1), sum(fits, F.lit(0)))))
+    each = placed.join(ends, same).withColumn(copy, F.explode(F.array_repeat(F.lit(1), sum(fits, F.lit(0)))))
     return each.select(*("`" + c.replace("`", "``") + "`" for c in docs.columns))
 
 
