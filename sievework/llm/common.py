@@ -120,6 +120,15 @@ def without_keys(df: DataFrame, gone: DataFrame, key: list[Column]) -> DataFrame
     return marked.where(~F.col(may)).drop(may).unionByName(kept)
 
 
+def sweep(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of frames that nothing refers to any more.
+
+    It does so when the driver's JVM collects its garbage, which a driver with little to do puts off.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 

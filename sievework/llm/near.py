@@ -13,7 +13,9 @@ and in the next round each proposes its best match in another component that it
 has at most one pair a document. Documents that still agree with another component after the rounds by
 signature are settled by an exact prefix join on their full sets, in rounds of the same kind, until a round
 joins nothing; the few pairs that are left are then confirmed all at once, so no link that could join two
-components is lost. Long lists are dealt to blocks, and only pairs of blocks meet in a task.
+components is lost. Long lists are dealt to blocks, and only pairs of blocks meet in a task:
+inside a list, signatures of 48 bytes are compared with all of about their size, which grows with the square of
+the list, but what leaves a task is a row a document.
 Components are found by alternating large and small stars.
 
 Defined results: words are lower-cased in A-Z only; a text with fewer words than a shingle is one shingle;
@@ -35,17 +37,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, shuffle_partitions, slices, split_words, without_keys
+from .common import GOLD, Bits, bounded, cut, hash_words, mix, pair_hash, release, shuffle_partitions, slices, split_words, sweep, without_keys
 
 SHINGLE, SHARE = 3, 85
 #: By the least share that they hold for: at similarity 0.85, 48 coordinates agree in fewer than 24 with a chance of
 #: about 2e-9, and at 0.8 in fewer than 21 with one of about 6e-9.
 K, MATCHES = 48, {85: 24, 80: 21}
-#: Longer lists are dealt to blocks of about so many rows, and pairs of blocks meet in a task.
-BLOCK = 2048
-#: Rows that are compared with the rest of a block at once; lists up to SHORT rows are compared with others of
-#: their size; rows that are read at once, more than a pair of blocks has.
-STEP, SHORT, PACK = 256, 24, 1 << 14
+#: Longer lists are dealt to blocks of about so many rows (some 100 bytes each), and pairs of blocks meet in a task.
+BLOCK = 1 << 14
+#: Comparisons that are made at once; lists up to SHORT rows are compared with others of their size; rows that are
+#: read at once.
+STEP, SHORT, PACK = 1 << 19, 24, 1 << 14
 #: How often documents look for a partner in another component by signatures, after the first time.
 SIGNATURE_ROUNDS = 1
 #: Rounds by prefixes end when at most one proposal in so many is confirmed.
@@ -319,8 +321,9 @@ def partners(score: Score, share: int, want: str):  # noqa: ANN201
         tried_a, tried_b = rows["tried_a"][low:high] - start, rows["tried_b"][low:high] - start
         for mine, theirs in ((one, two),) if x == y else ((one, two), (two, one)):
             asked, among = np.flatnonzero(mine & asks), np.flatnonzero(theirs)
-            for at in range(0, len(asked), STEP):
-                a = asked[at : at + STEP]
+            step = max(16, STEP // max(1, len(among)))
+            for at in range(0, len(asked), step):
+                a = asked[at : at + step]
                 low = np.searchsorted(n[among], -(-n[a[0]] * share // 100), "left")
                 high = np.searchsorted(n[among], n[a[-1]] * 100 // share, "right")
                 b = among[low:high]
@@ -430,6 +433,7 @@ def ordered_pairs(found: DataFrame) -> DataFrame:
 
 def linked(nodes: DataFrame, docs: DataFrame, share: int, size: int) -> DataFrame | None:
     """a, b: links that join the same components as all links do; None if there are no candidates at all."""
+    spark = nodes.sparkSession
     counts = nodes.select(F.explode("post").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("c"))
     counts = cut(counts.where("c > 1"))
     long = cut(counts.where(F.col("c") > BLOCK))
@@ -464,16 +468,19 @@ def linked(nodes: DataFrame, docs: DataFrame, share: int, size: int) -> DataFram
         return proposals(listed(met.join(state(), "cid")), by_signature(share), share, want)
 
     for _ in range(SIGNATURE_ROUNDS):
+        sweep(spark)
         found = by_lists("best")
         tried = tried.unionByName(found)
         links = links.unionByName(confirmed(ordered_pairs(found), sets, share))
     # whoever still agrees with another component is settled by an exact join of the sets' prefixes
+    sweep(spark)
     open_ = by_lists("any").select("cid")
     if open_.isEmpty():
         return links
     rare = in_blocks(rare_first(open_, sets, share), F.col("df")).drop("df")
     joins = True
     while joins:
+        sweep(spark)
         found = proposals(rare.join(state(), "cid"), by_prefix(share), share, "each")
         more = confirmed(ordered_pairs(found), sets, share)
         tried, links = tried.unionByName(found), links.unionByName(more)
@@ -558,5 +565,6 @@ def without_near_copies(docs: DataFrame, share: int = SHARE, size: int = SHINGLE
         named = named.groupBy("doc_id").agg(F.max("kept").alias("stays"), F.min("component_id").alias("comp"))
         named = cut(named.where("NOT stays").select(F.col("doc_id").alias("a"), F.col("comp").alias("b")))
         gone = gone.unionByName(named) if gone else named
+        sweep(docs.sparkSession)
     ids = components(gone).select("node") if more else gone.select("a")
     return without_keys(docs, ids, [F.col("doc_id").cast("long")])
