@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import sinks
 from ..functions import ranks, text, versions
-from ..operators import cache, duplication, findings, metrics, policy, supply, taint
+from ..operators import cache, duplication, findings, metrics, policy, repeats, supply, taint
 from ..sources import files, nodes
 from . import patterns
 from .scan_queries import table
@@ -105,8 +105,8 @@ def advisory_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return supply.upserted(old, new, ["id", "ecosystem", "package_name"]).groupBy("affected_range").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.word_tokens(findings.files_of(table(spark, sf_dir, "documents")).select(F.col("file_path").alias("path"), "text"))
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.files_of(table(spark, sf_dir, "documents")).select(F.col("file_path").alias("path"), "text")
 
 
 _TOKENS = r"""f AS (SELECT source || '/' || CAST(doc_id AS VARCHAR) || '.txt' AS path, coalesce(text, '') AS text FROM documents),
@@ -119,19 +119,19 @@ v AS (SELECT * FROM w WHERE pos + {WINDOW} <= total)"""
 
 
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.windows(_tokens(spark, sf_dir), WINDOW, digest=True).groupBy("path").agg(F.count(F.lit(1)).alias("windows"), F.min("hash").alias("least_hash"))
+    return repeats.least_windows(_files(spark, sf_dir), WINDOW)
 
 
 def dup_window_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.window_groups(duplication.windows(_tokens(spark, sf_dir), WINDOW, digest=True))
+    return repeats.window_groups(_files(spark, sf_dir), WINDOW)
 
 
 def dup_percentage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.percentage(_tokens(spark, sf_dir), WINDOW)
+    return duplication.percentage(_files(spark, sf_dir), WINDOW)
 
 
 def dup_blocks_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return duplication.merged_blocks(duplication.diagonals(duplication.windows(_tokens(spark, sf_dir), WINDOW), WINDOW))
+    return duplication.merged_blocks(repeats.blocks(_files(spark, sf_dir), WINDOW))
 
 
 def dup_largest_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
