@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..lineage import cut
+from ..sources.nodes import folded
 
 MOST_CYCLOMATIC, MOST_COGNITIVE = 15, 25
 
@@ -91,6 +93,45 @@ def function_metrics(nodes: DataFrame, kinds: Kinds) -> DataFrame:
     return out.select("path", "node_id", "name", "start_line", "end_line", (F.col("end_line") - F.col("start_line") + 1).cast("long").alias("loc"), (zero(F.col("marks")) + 1).alias("cyclomatic"), zero(F.col("cognitive")).alias("cognitive"), zero(F.col("parameters")).alias("parameters"))
 
 
+def functions_of(files: DataFrame, language: str = "Python") -> DataFrame:
+    """``function_metrics`` of files (path, text), each file's made where it is parsed."""
+    kinds = LANGUAGES[language]
+    functions, decisions, logical, signs = map(frozenset, (kinds.functions, kinds.decisions, kinds.logical, kinds.signs))
+
+    def fold(path: str, rows: list[dict]) -> list[tuple]:
+        names: dict[int, tuple[int, str]] = {}
+        lists: dict[int, int] = {}
+        signed: set[int] = set()
+        for r in rows:
+            parent = r["parent_id"]
+            if r["field_name"] == "name":
+                names[parent] = min(names.get(parent, (r["ordinal"], r["text"])), (r["ordinal"], r["text"]))
+            elif r["field_name"] == "parameters":
+                lists[r["node_id"]] = parent
+            if signs and not r["is_named"] and r["kind"] in signs:
+                signed.add(parent)
+        held, deciding = Counter(lists[r["parent_id"]] for r in rows if r["is_named"] and r["parent_id"] in lists), {r["node_id"] for r in rows if r["kind"] in decisions}
+        own = {r["node_id"] for r in rows if r["kind"] in functions}
+        marks, cognitive = Counter(), Counter()
+        for r in rows:
+            node = r["node_id"]
+            decision = node in deciding
+            if not decision and not (r["kind"] in logical and (not signs or node in signed)):
+                continue
+            nesting = 0
+            for n in reversed(r["path_from_root"]):  # from the inside out: decisions met so far are those below n
+                if n in own:
+                    marks[n] += 1
+                    cognitive[n] += 0 if n == node else 1 + nesting if decision else 1
+                nesting += n in deciding and n != node
+        return [
+            (path, r["node_id"], names[r["node_id"]][1], r["start_row"] + 1, r["end_row"] + 1, r["end_row"] - r["start_row"] + 1, marks[r["node_id"]] + 1, cognitive[r["node_id"]], held[r["node_id"]])
+            for r in rows if r["node_id"] in own and r["node_id"] in names
+        ]
+
+    return folded(files, fold, "path string, node_id long, name string, start_line int, end_line int, loc long, cyclomatic long, cognitive long, parameters long", language)
+
+
 def threshold_findings(functions: DataFrame, cyclomatic: int = MOST_CYCLOMATIC, cognitive: int = MOST_COGNITIVE, tool: str = "sieve") -> DataFrame:
     """Findings of functions above a threshold."""
     out = None

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import sinks
 from ..functions import ranks, text, versions
 from ..operators import cache, duplication, findings, metrics, policy, repeats, supply, taint
-from ..sources import files, nodes
+from ..sources import files
 from . import patterns
 from .scan_queries import table
 
@@ -252,15 +252,15 @@ def _python(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.function_metrics(nodes.nodes_of(_python(spark, sf_dir)), metrics.LANGUAGES["Python"]).select("path", "name", "loc", "cyclomatic", "cognitive", "parameters")
+    return metrics.functions_of(_python(spark, sf_dir)).select("path", "name", "loc", "cyclomatic", "cognitive", "parameters")
 
 
 def complexity_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.threshold_findings(metrics.function_metrics(nodes.nodes_of(_python(spark, sf_dir)), metrics.LANGUAGES["Python"]), 9, 20).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
+    return metrics.threshold_findings(metrics.functions_of(_python(spark, sf_dir)), 9, 20).groupBy("rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pattern_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = patterns.search('(call function: (identifier) @f (#match? @f "^(eval|exec)$")) @match', nodes.nodes_of(_python(spark, sf_dir)))
+    found = patterns.search_files({"calls": '(call function: (identifier) @f (#match? @f "^(eval|exec)$")) @match'}, _python(spark, sf_dir))
     return found.select("path", "text", F.col("start_line").cast("long").alias("start_line"))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..lineage import cut
-from ..sources import nodes
 from . import patterns
 from .scan_queries import table
 
@@ -37,12 +35,7 @@ def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """pattern, path, text and line of what each form captures; the files are parsed once."""
-    tree = cut(nodes.nodes_of(_source(spark, sf_dir)))
-    out = None
-    for name, query in PATTERNS.items():
-        found = patterns.search(query, tree).select(F.lit(name).alias("pattern"), "path", "text", F.col("start_line").cast("long").alias("start_line"))
-        out = found if out is None else out.unionByName(found)
-    return out
+    return patterns.search_files(PATTERNS, _source(spark, sf_dir)).select("pattern", "path", "text", F.col("start_line").cast("long").alias("start_line"))
 
 
 def _row(pattern: str, text: str, line: str, where: str = "true") -> str:

@@ -16,6 +16,7 @@ from sievework import catalogue, sinks
 from sievework.functions import ranks, text, versions
 from sievework.operators import cache, duplication, findings, metrics, policy, repeats, supply, taint
 from sievework.plans import patterns
+from sievework.plans.pattern_queries import PATTERNS
 from sievework.sources import files, lockfiles, nodes, settings as conf
 
 FINDING = "fingerprint string, rule_id string, file_path string, start_line int, start_col int, severity string, confidence string, category string, cwe_id string, snippet string"
@@ -241,6 +242,46 @@ def test_complexity_and_patterns(spark):  # noqa: ANN001
             search(wrong)
 
 
+MORE = """
+class A(B):
+    def run(self, x: int = 3, *rest, key=None, **more) -> str:  # a comment
+        if x and (key or rest):
+            for i in rest:
+                while i and x or key:
+                    try:
+                        run(i, [j for j in rest if j], lambda y: y and x)
+                    except ValueError:
+                        def inner(q):
+                            return (eval(q) if q else x) + "a" + 'b'
+        elif key:
+            return f"{x}" + str(7)
+        else:
+            exec(key), run(), run(1), run(a, 1, b)
+"""
+
+
+def test_metrics_and_patterns_in_the_parser_are_those_of_joins(spark):  # noqa: ANN001
+    made = spark.createDataFrame([("f.py", SOURCE), ("m.py", MORE), ("bad.py", "def"), ("none.py", None)], "path string, text string")
+    tree = nodes.nodes_of(made).cache()
+    rows = lambda df: Counter(map(tuple, df.collect()))
+    assert rows(metrics.functions_of(made)) == rows(metrics.function_metrics(tree, metrics.LANGUAGES["Python"]))
+    sources = PATTERNS | {
+        "optional": "(call function: (_) @f arguments: (argument_list (integer)? @i . (identifier)? @d))", "star": "(argument_list . (identifier)* @x (integer) @y .)", "plus": "(block (_)+ @x) @b", "any": '((identifier) @i (#any-of? @i "x" "q" "key"))',
+        "captures": "(call function: (identifier) @f arguments: (argument_list (identifier) @a) (#not-eq? @f @a)) @m", "absent": "(function_definition !return_type body: (block [(return_statement) (if_statement)] @s .))", "no_capture": "(call)", "two": "(integer) @i (string) @s",
+        "unbound": '((call) @m (#not-eq? @none "x"))', "first": "(argument_list . (_) @a . (_) @b)", "token": '(binary_operator left: (_) @l "+" @s right: (_) @r)',
+    }
+    found = patterns.search_files(sources, made).cache()
+    for name, source in sources.items():
+        assert rows(found.where(F.col("pattern") == name).drop("pattern")) == rows(patterns.search(source, tree)), name
+
+
+@pytest.mark.parametrize("name", ["complexity", "pattern_forms", "pattern_search"])
+def test_files_are_parsed_in_one_narrow_pass_by_all_tasks(spark, name):  # noqa: ANN001
+    df = catalogue.queries()[name](spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4  # one file of a table holds all sources
+    assert not any(x in df._jdf.queryExecution().toString() for x in ("Join", "Aggregate", "Scan ExistingRDD"))
+
+
 def test_line_counts(spark):  # noqa: ANN001
     df = spark.createDataFrame([("a", "x = 1 # c\n\n# d\n\"\"\"\n\n\"\"\"\n"), ("b", "")], "path string, text string")
     comments = spark.createDataFrame([("a", 0, 0), ("a", 2, 2), ("a", 3, 5)], "path string, start_row int, end_row int")
