@@ -14,6 +14,7 @@ identifiers are packed like others; an empty table gives no pieces; other column
 from __future__ import annotations
 
 import hashlib
+import os
 import threading
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,8 @@ from .common import bounded, cut, encoded, release, slices
 CAPACITY, END_ID = 4096, 2
 #: Distinct stems whose ids a worker keeps.
 KEPT_WORDS = 1_000_000
+#: Stems that the tokenizer is given at once; what it returns of each is some kilobytes.
+LOT = 2_000
 #: Text bytes that are read in one step.
 STEP_BYTES = 4 << 20
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long, part int, rank long"
@@ -80,6 +83,8 @@ class Ids:
     """
 
     def __init__(self, definition: str, kept: int = KEPT_WORDS):
+        # a task has one core: threads of its own would only take those of others, and memory each
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
@@ -103,8 +108,8 @@ class Ids:
         new = np.flatnonzero(slots < 0)
         if len(new):
             flat, sizes = [], []
-            for at in range(0, len(new), 10_000):
-                ids = [e.ids for e in self.tokenizer.encode_batch_fast([names[k] for k in new[at : at + 10_000].tolist()], add_special_tokens=False)]
+            for at in range(0, len(new), LOT):
+                ids = [e.ids for e in self.tokenizer.encode_batch_fast([names[k] for k in new[at : at + LOT].tolist()], add_special_tokens=False)]
                 sizes.append(np.fromiter(map(len, ids), np.int32, len(ids)))
                 flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes[-1].sum())))
             slots[new] = np.arange(len(self.sizes), len(self.sizes) + len(new))
@@ -178,9 +183,15 @@ def maker_of(definition: str, kept: int = KEPT_WORDS) -> Ids:
     return _MAKERS[key]
 
 
+def drop() -> None:
+    """Forgets the store, and gives its memory back to the system."""
+    _MAKERS.clear()
+    release()
+
+
 def rest() -> None:
     """Called as a task ends: the store is dropped unless another task asks for it in time."""
-    timer = threading.Timer(IDLE_S, _MAKERS.clear)
+    timer = threading.Timer(IDLE_S, drop)
     timer.daemon = True
     _TIMERS.append(timer)
     timer.start()

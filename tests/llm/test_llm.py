@@ -5,8 +5,11 @@ from __future__ import annotations
 import hashlib
 import itertools
 import json
+import os
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -166,6 +169,14 @@ def test_ids_are_those_of_whole_texts():  # noqa: ANN201
     assert ids.tolist() == [x for w in wanted for x in w]
 
 
+def test_ids_are_made_in_one_thread():  # noqa: ANN201
+    code = "import os, sys, pyarrow as pa; from pathlib import Path; from sievework.llm import packing; pa.set_cpu_count(1); "
+    code += "maker = packing.Ids(Path(sys.argv[1]).read_text()); n = len(os.listdir('/proc/self/task')); "
+    code += "maker.of(pa.array([' '.join(f'w{k}' for k in range(9000))])); print(len(os.listdir('/proc/self/task')) - n)"
+    env = {k: v for k, v in os.environ.items() if k != "TOKENIZERS_PARALLELISM"}
+    assert subprocess.run([sys.executable, "-c", code, registered.WORD_BPE], env=env, cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True).stdout == "0\n"
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=20))
 def test_plans_use_all_lengths_and_fill_best(counts):  # noqa: ANN001
