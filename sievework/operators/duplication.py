@@ -61,8 +61,15 @@ def repeated(found: DataFrame) -> DataFrame:
 def percentage(files: DataFrame, size: int = WINDOW_TOKENS) -> DataFrame:
     """One row: duplicated_lines, total_lines (up to each file's last token) and duplicate_pct; files hold text, or tokens."""
     files = repeats.whole(files)
-    lines = repeats.repeated_lines(files, size).agg(F.coalesce(F.sum("duplicated"), F.lit(0).cast("long")).alias("duplicated_lines"))
-    both = lines.join(repeats.total_lines(files), F.lit(True))  # one row each
+    texts = cut(repeats.texts(files, size))
+    groups = cut(texts.groupBy("same").agg(F.count(F.lit(1)).alias("n"), F.min("path").alias("path")))
+    # of equal texts one is looked at, as others may share its windows; each of its own occurs more than once
+    lines = texts.join(groups.where("n > 1").select("same"), "same", "left_semi").select("path", F.col("covered").alias("duplicated"))
+    if not lines.isEmpty():
+        files = repeats.first_of_each(files, groups.select("path"), groups.count())
+    lines = lines.unionByName(repeats.repeated_lines(files, size)).groupBy("path").agg(F.max("duplicated").alias("n"))
+    lines = lines.agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("duplicated_lines"))
+    both = lines.join(texts.agg(F.coalesce(F.sum("lines"), F.lit(0).cast("long")).alias("total_lines")), F.lit(True))  # one row each
     return both.withColumn("duplicate_pct", F.when(F.col("total_lines") > 0, F.col("duplicated_lines") / F.col("total_lines") * 100).otherwise(0.0))
 
 

@@ -33,6 +33,8 @@ PARTS, PART_BITS = 10, 19
 BASE = 0x9E3779B97F4A7C15
 #: Tokens of a block, and blocks that are compared beyond a run's ends: in the first two rounds, and in further ones by turns.
 REACH = [(1, 8), (1, 64), (64, 512), (1, 64)]
+#: Bits of the filter of paths, as a power of two, and bits that a path gets if there is room.
+PATH_BITS, EACH_PATH = 26, 12
 #: So many runs are broadcast to the files rather than joined with them.
 FEW = 20_000
 #: Beyond that, so many hashes of paths at most are.
@@ -173,6 +175,63 @@ def least_windows(files: DataFrame, size: int) -> DataFrame:
     return whole(files).mapInArrow(rows, "path string, windows long, least_hash string")
 
 
+class Paths:
+    """Bits of the paths of some files; of fixed size at most, so others may pass too."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = words
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        """keys: xxhash64 of the paths."""
+        keys, last = keys.view(np.uint64), np.uint64(32 * len(self.words) - 1)
+        spots = [keys & last, (keys >> np.uint64(32)) & last]
+        return np.logical_and(*((self.words[x >> np.uint64(5)] >> (x & np.uint64(31)).astype(np.uint32)) & np.uint32(1) == 1 for x in spots))
+
+    @classmethod
+    def of(cls, paths: DataFrame, count: int) -> Paths:
+        bits = 1 << min(PATH_BITS, max(13, (EACH_PATH * count).bit_length()))
+        key = F.xxhash64("path")
+        rows = paths.select(F.explode(F.array(*(F.pmod(x, F.lit(bits)) for x in (key, F.shiftrightunsigned(key, 32))))).alias("p"))
+        found = rows.groupBy(F.floor(F.col("p") / 32).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 32 AS int))")).alias("m")).toArrow()
+        words = np.zeros(bits // 32, np.uint32)
+        words[found["w"].to_numpy()] = found["m"].to_numpy().astype(np.uint32)
+        return cls(words)
+
+
+def texts(files: DataFrame, size: int) -> DataFrame:
+    """path, same (SHA-256 of the text; of the path, if the file holds tokens), covered (lines from its first window to its last) and lines (up to its last token)."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            t = Tokens(batch, 1)
+            full, covered, lines = np.flatnonzero(t.counts), *np.zeros((2, batch.num_rows), np.int64)
+            lines[full] = t.line[t.starts[full] + t.counts[full] - 1].astype(np.int64) + 1
+            full = full[t.counts[full] >= size]
+            covered[full] = lines[full] - t.line[t.starts[full]]
+            if size == 1:  # no window reaches over empty lines
+                covered = np.bincount(t.of[np.append(True, (np.diff(t.line) != 0) | (np.diff(t.of) != 0))[: len(t.of)]], minlength=batch.num_rows)
+            same = [sha256(b"t" + (x or "").encode()).digest() for x in batch.column("text").to_pylist()]
+            if "tokens" in batch.schema.names:
+                for k in np.flatnonzero(batch.column("tokens").is_valid().to_numpy(zero_copy_only=False)).tolist():
+                    path = batch.column("path")[k].as_py()
+                    same[k] = sha256(b"n" if path is None else b"p" + path.encode()).digest()
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(same, pa.binary()), pa.array(covered), pa.array(lines)], ["path", "same", "covered", "lines"])
+
+    return files.mapInArrow(rows, "path string, same binary, covered long, lines long")
+
+
+def first_of_each(files: DataFrame, named: DataFrame, count: int) -> DataFrame:
+    """The files whose path is in ``named``, and few others; lets all pass once there are far too many."""
+    shared = files.sparkSession.sparkContext.broadcast(Paths.of(named, count))
+    names = files.columns
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(shared.value.has(batch.column("key").to_numpy()))).select(names)
+
+    return files.withColumn("key", F.xxhash64("path")).mapInArrow(rows, files.schema)
+
+
 _HELD: dict[str, np.ndarray] = {}
 
 
@@ -361,20 +420,6 @@ def repeated_lines(files: DataFrame, size: int) -> DataFrame:
     return found.groupBy("path").agg(spans.alias("spans")).select("path", F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("upto")), step)["n"].alias("duplicated"))
 
 
-def total_lines(files: DataFrame) -> DataFrame:
-    """One row: total_lines, up to each file's last token."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in slices(batches):
-            t = Tokens(batch, 1)
-            full = np.flatnonzero(t.counts)
-            n += int((t.line[t.starts[full] + t.counts[full] - 1].astype(np.int64) + 1).sum())
-        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
-
-    return files.mapInArrow(rows, "n long").agg(F.coalesce(F.sum("n"), F.lit(0).cast("long")).alias("total_lines"))
-
-
 def links(files: DataFrame, size: int) -> DataFrame:
     """Runs of linked places, the earlier place first; n places of a window give n - 1 links.
 
