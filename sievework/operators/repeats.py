@@ -39,6 +39,8 @@ PATH_BITS, EACH_PATH = 26, 12
 FEW = 20_000
 #: Beyond that, so many hashes of paths at most are.
 SPOTS = 1 << 18
+#: Files with equal texts: so many paths are broadcast, and a row holds about so many copies.
+COPIES, KIN = 1 << 19, 256
 RUNS = "path_a string, path_b string, shift int, lo int, hi int, open int, a0 int, a1 int, b0 int, b1 int"
 RUN = [c.split()[0] for c in RUNS.split(", ")]
 PAIR, ANSWER = RUN[:3], ["left", "left_lines", "right", "right_lines"]
@@ -220,16 +222,49 @@ def texts(files: DataFrame, size: int) -> DataFrame:
     return files.mapInArrow(rows, "path string, same binary, covered long, lines long")
 
 
-def first_of_each(files: DataFrame, named: DataFrame, count: int) -> DataFrame:
-    """The files whose path is in ``named``, and few others; lets all pass once there are far too many."""
+def _parted(files: DataFrame, named: DataFrame, count: int) -> tuple[DataFrame, DataFrame]:
+    """The files whose path is in ``named``, and few others (all once there are far too many); and the rest."""
     shared = files.sparkSession.sparkContext.broadcast(Paths.of(named, count))
     names = files.columns
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(shared.value.has(batch.column("key").to_numpy()))).select(names)
+    def part(of: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(shared.value.has(batch.column("key").to_numpy()) == of)).select(names)
+
+        return rows
+
+    keyed = files.withColumn("key", F.xxhash64("path"))
+    return keyed.mapInArrow(part(True), files.schema), keyed.mapInArrow(part(False), files.schema)
+
+
+def first_of_each(files: DataFrame, named: DataFrame, count: int) -> DataFrame:
+    """The files whose path is in ``named``, and few others; lets all pass once there are far too many."""
+    return _parted(files, named, count)[0]
 
-    return files.withColumn("key", F.xxhash64("path")).mapInArrow(rows, files.schema)
+
+def _kin(files: DataFrame, size: int) -> DataFrame:
+    """One file of each group of equal texts, with same (16 bytes of the text's SHA-256) and kin (all paths of the group); both are null if the text is there once.
+
+    A large group is split by its paths' hashes, so that a row stays small: it has one such file for each KIN paths.
+    """
+    texts = files.where("tokens IS NULL") if "tokens" in files.columns else files
+    texts = cut(texts.where(F.length("text") >= size).select("path", F.unhex(F.substring(F.sha2("text", 256), 1, 32)).alias("same")))
+    many = texts.groupBy("same").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    salt = F.pmod(F.xxhash64("path"), F.ceil(F.col("n") / KIN)).alias("salt")
+    kin = cut(texts.join(many, "same").groupBy("same", salt).agg(F.array_sort(F.collect_list("path")).alias("kin")))
+    count = kin.agg(F.coalesce(F.sum(F.size("kin")), F.lit(0))).first()[0]
+    sweep(files.sparkSession)
+    if not count:
+        return files
+    first = F.col("path") == F.col("kin")[0]
+    members = kin.select("same", "kin", F.explode("kin").alias("path")).select("path", first.alias("first"), *(F.when(first, F.col(c)).alias(c) for c in ("same", "kin")))
+    if count <= COPIES:
+        held = files.join(F.broadcast(members), "path", "left")
+    else:  # the texts that are there once are not shuffled, but for a few
+        held, alone = _parted(files, members, count)
+        held = held.join(members, "path", "left").unionByName(alone, allowMissingColumns=True)
+    return held.where("first IS NULL OR first").drop("first")
 
 
 _HELD: dict[str, np.ndarray] = {}
@@ -329,15 +364,23 @@ def _grouped(files: DataFrame, size: int, fold: Callable[[pa.Table, np.ndarray,
 
     A row is a run of windows of one file that share an anchor: anchor, path, pos, hashes, each window's first and last
     line, and 15 bits of the tokens before and after (-1: none). fold gets rows in order of anchors, their windows' numbers and hashes.
+    If files have ``kin``, a row also has same, kin and whole (its file's last window, first and last line). A file with kin gives
+    one window at least, since each of its windows is there in every copy.
     """
     shared = files.sparkSession.sparkContext.broadcast(Filter.of(files, size))
-    names = ["anchor", "path", "pos", "hashes", "begins", "ends", "before", "after"]
+    names, related = ["anchor", "path", "pos", "hashes", "begins", "ends", "before", "after"], "kin" in files.columns
+    names += ["same", "kin", "whole"] if related else []
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             t = Tokens(batch, size)
             where, anchors = np.flatnonzero(t.inside), t.anchors()[0]
-            where = where[shared.value.passes(anchors[where])]
+            passes = shared.value.passes(anchors[where])
+            if related:
+                held = batch.column("kin").is_valid().to_numpy(zero_copy_only=False)
+                once = np.flatnonzero(~passes & held[t.of[where]])
+                passes[once[np.unique(t.of[where[once]], return_index=True)[1]]] = True
+            where = where[passes]
             if not len(where):
                 continue
             first = np.ones(len(where), bool)
@@ -351,15 +394,25 @@ def _grouped(files: DataFrame, size: int, fold: Callable[[pa.Table, np.ndarray,
                 pa.array(anchors[at].view(np.int64)), batch.column("path").take(pa.array(of)), pa.array((at - begin).astype(np.int32)), _binary(t.windows()[where], counts),
                 _binary(t.line[where], counts), _binary(t.line[where + size - 1], counts), pa.array(before), pa.array(after),
             ]
+            if related:
+                full = np.where(t.counts > 0, t.starts, 0)
+                facts = np.stack([t.counts - size, t.line[full], t.line[np.maximum(full + t.counts - 1, 0)]], axis=1).astype(np.int32)
+                facts = _binary(facts.ravel(), np.full(len(facts), 3))
+                columns += [x.take(pa.array(of, mask=~held[of])) for x in (batch.column("same"), batch.column("kin"), facts)]
             yield pa.RecordBatch.from_arrays(columns, names)
 
+    def number(rows: pa.Table | pa.RecordBatch) -> int:
+        """Windows in all copies of the rows."""
+        counts = pc.divide(pc.binary_length(rows.column("hashes")), 8)
+        return int(pc.sum(pc.multiply(counts, pc.fill_null(pc.list_value_length(rows.column("kin")), 1)) if related else counts).as_py())
+
     def group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, windows = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             held.append(batch)
-            windows += int(pc.sum(pc.binary_length(batch.column("hashes"))).as_py()) // 8
+            windows += number(batch)
             if windows > GROUPED:
                 rows = pa.Table.from_batches(held).combine_chunks()
                 anchors = rows.column("anchor").to_numpy()
@@ -367,7 +420,7 @@ def _grouped(files: DataFrame, size: int, fold: Callable[[pa.Table, np.ndarray,
                 if to:
                     yield folded(rows.slice(0, to))
                 rest = rows.slice(to)
-                held, windows = rest.to_batches(), int(pc.sum(pc.binary_length(rest.column("hashes"))).as_py()) // 8
+                held, windows = rest.to_batches(), number(rest)
         if held:
             yield folded(pa.Table.from_batches(held))
 
@@ -376,17 +429,21 @@ def _grouped(files: DataFrame, size: int, fold: Callable[[pa.Table, np.ndarray,
         return fold(rows, counts, np.frombuffer(b"".join(rows.column("hashes").to_pylist()), np.uint64))
 
     kind = "anchor long, path string, pos int, hashes binary, begins binary, ends binary, before short, after short"
+    kind += ", same binary, kin array<string>, whole binary" if related else ""
     return files.mapInArrow(deal, kind).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(group, schema)
 
 
-def _order(rows: pa.Table, counts: np.ndarray, hashes: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Windows in groups of equal ones, ordered by their rows' ``key`` inside: each one's row, its number among all windows, and whether its group goes on."""
+def _order(base: np.ndarray, counts: np.ndarray, hashes: np.ndarray, anchors: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows in groups of equal ones, ordered by their rows' ``key`` inside: each one's row, its number among all windows, and whether its group goes on.
+
+    base: each row's first window's number.
+    """
     by = np.argsort(key, kind="stable")
-    at = _spread((np.cumsum(counts) - counts)[by], counts[by])
+    at = _spread(base[by], counts[by])
     order = np.argsort(hashes[at], kind="stable")
     row = np.repeat(by, counts[by])[order]
     at = at[order]
-    anchors = rows.column("anchor").to_numpy()[row]
+    anchors = anchors[row]
     # two windows of one hash and several anchors aren't equal; they are parted, in the order of anchors
     same = hashes[at[1:]] == hashes[at[:-1]]
     if (same & (anchors[1:] != anchors[:-1])).any():
@@ -396,11 +453,27 @@ def _order(rows: pa.Table, counts: np.ndarray, hashes: np.ndarray, key: np.ndarr
     return row, at, same & (anchors[1:] == anchors[:-1])
 
 
+def _copies(rows: pa.Table) -> tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]:
+    """Each row once for every path of its kin: the row's number, the path, a number for the text (-1: there once) and what ``whole`` has."""
+    n, paths = rows.num_rows, rows.column("path").combine_chunks()
+    none = np.full(n, -1, np.int64), np.zeros((n, 3), np.int32)
+    if "kin" not in rows.column_names or rows.column("kin").null_count == n:
+        return np.arange(n), paths, *none
+    kin = rows.column("kin").combine_chunks()
+    text, facts, held = *none, kin.is_valid().to_numpy(zero_copy_only=False)
+    text[held] = rows.column("same").combine_chunks().filter(pa.array(held)).dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    facts[held] = np.frombuffer(b"".join(rows.column("whole").drop_null().to_pylist()), np.int32).reshape(-1, 3)
+    row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(kin), 1).to_numpy(zero_copy_only=False))
+    at = row.copy()
+    at[held[row]] = n + np.arange(int(held[row].sum()))
+    return row, pa.concat_arrays([paths, kin.flatten()]).take(pa.array(at)), text[row], facts[row]
+
+
 def repeated_lines(files: DataFrame, size: int) -> DataFrame:
     """path and duplicated (lines that a repeated window covers) of files with such lines."""
 
     def fold(rows: pa.Table, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        row, at, same = _order(rows, counts, hashes, np.zeros(len(counts), np.int8))
+        row, at, same = _order(np.cumsum(counts) - counts, counts, hashes, rows.column("anchor").to_numpy(), np.zeros(len(counts), np.int8))
         hit = np.zeros(len(at), bool)
         hit[1:] |= same
         hit[:-1] |= same
@@ -425,18 +498,20 @@ def links(files: DataFrame, size: int) -> DataFrame:
 
     path_a, path_b, shift, lo, hi; open: 1 if the run may go on before lo, 2 behind hi; first and last lines in both files.
     A window's places are chained within buckets of files, and the buckets' first places among each other.
+    Of equal texts one is cut into windows, whose places are those in all copies; a link of one place of two copies stands for all of both.
     """
 
     def fold(rows: pa.Table, counts: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
-        coded = rows.column("path").combine_chunks().dictionary_encode()
+        of, paths, text, facts = _copies(rows)
+        coded = paths.dictionary_encode()
         names = coded.dictionary.to_pylist()
         rank = np.empty(len(names), np.int64)  # in order of paths
         rank[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
         bucket = np.fromiter((md5(x.encode(), usedforsecurity=False).digest()[0] for x in names), np.int64, len(names))
-        codes, pos = coded.indices.to_numpy(zero_copy_only=False), rows.column("pos").to_numpy().astype(np.int64)
+        codes, pos = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), rows.column("pos").to_numpy().astype(np.int64)[of]
         place = (rank[codes] << 32) + pos
-        row, at, same = _order(rows, counts, hashes, np.argsort(np.lexsort((place, bucket[codes]))))
-        base = np.cumsum(counts) - counts
+        base, counts = (np.cumsum(counts) - counts)[of], counts[of]
+        row, at, same = _order(base, counts, hashes, rows.column("anchor").to_numpy()[of], np.argsort(np.lexsort((place, bucket[codes]))))
         own = pos[row] + at - base[row]
         head = np.ones(len(row), bool)
         head[1:] = ~same | (bucket[codes[row[1:]]] != bucket[codes[row[:-1]]])
@@ -447,13 +522,17 @@ def links(files: DataFrame, size: int) -> DataFrame:
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         ka, kb = codes[row[a]], codes[row[b]]
         lo, shift = own[a], own[b] - own[a]
+        copied = (shift == 0) & (text[row[a]] >= 0) & (text[row[a]] == text[row[b]])
+        pairs, firsts = np.unique(ka[copied] * len(names) + kb[copied], return_index=True)
+        whole = facts[row[a[copied][firsts]]]
+        a, b, ka, kb, lo, shift = (x[~copied] for x in (a, b, ka, kb, lo, shift))
         order = np.lexsort((lo, shift, kb, ka))
         a, b, ka, kb, lo, shift = (x[order] for x in (a, b, ka, kb, lo, shift))
         new = np.ones(len(lo), bool)
         new[1:] = (np.diff(lo) != 1) | (np.diff(shift) != 0) | (ka[1:] != ka[:-1]) | (kb[1:] != kb[:-1])
         last = np.append(new[1:], True) if len(lo) else new
         begins, ends = (np.frombuffer(b"".join(rows.column(c).to_pylist()), np.int32) for c in ("begins", "ends"))
-        before, after = (rows.column(c).to_numpy() for c in ("before", "after"))
+        before, after = (rows.column(c).to_numpy()[of] for c in ("before", "after"))
         stop = base + counts - 1
 
         def goes_on(x: np.ndarray, y: np.ndarray, edge: np.ndarray, around: np.ndarray, step: int) -> np.ndarray:
@@ -466,8 +545,10 @@ def links(files: DataFrame, size: int) -> DataFrame:
 
         left, right = goes_on(a[new], b[new], base, before, -1), goes_on(a[last], b[last], stop, after, 1)
         numbers = (shift[new], lo[new], lo[last], left + 2 * right, begins[at[a[new]]], ends[at[a[last]]], begins[at[b[new]]], ends[at[b[last]]])
-        path = coded.dictionary
-        return pa.RecordBatch.from_arrays([path.take(pa.array(ka[new])), path.take(pa.array(kb[new])), *(pa.array(x.astype(np.int32)) for x in numbers)], RUN)
+        none = np.zeros(len(pairs), np.int32)
+        numbers = [np.concatenate(x).astype(np.int32) for x in zip(numbers, (none, none, whole[:, 0], none, whole[:, 1], whole[:, 2], whole[:, 1], whole[:, 2]), strict=True)]
+        both = np.concatenate([ka[new], pairs // len(names)]), np.concatenate([kb[new], pairs % len(names)])
+        return pa.RecordBatch.from_arrays([*(coded.dictionary.take(pa.array(k)) for k in both), *map(pa.array, numbers)], RUN)
 
     return _joined(_grouped(files, size, fold, RUNS), size)
 
@@ -551,7 +632,7 @@ def blocks(files: DataFrame, size: int) -> DataFrame:
     some more, then by turns blocks of tokens and single ones, until both its ends are known.
     """
     files = whole(files)
-    found = cut(links(files, size))
+    found = cut(links(_kin(files, size), size))
     sweep(files.sparkSession)
     out, open_, turn = found.where("open = 0"), found.where("open > 0"), 0
     while not open_.isEmpty():
