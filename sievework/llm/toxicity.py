@@ -266,16 +266,25 @@ def _fold(names: pa.Array, bad: np.ndarray, good: np.ndarray, in_toxic: np.ndarr
     return Model(table, float(w[-1]))
 
 
-def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> pa.Table:
-    """text and toxic of the labelled documents that are trained on."""
+def sampled(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> DataFrame:
+    """doc_id, text and toxic of the labelled documents that are trained on."""
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(F.pmod(_crc("doc_id"), F.lit(3)) != 1).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
     fit_in = docs.select("doc_id", "text").where("doc_id IS NOT NULL").where(F.octet_length("text") <= longest)
     known = known.join(fit_in.select("doc_id").distinct(), "doc_id", "left_semi")
-    order = F.xxhash64("doc_id")
+    order = _order()
     taken = known.where("toxic").orderBy(order, "doc_id").limit(toxic).unionByName(known.where("NOT toxic").orderBy(order, "doc_id").limit(clean))
     rows = fit_in.join(F.broadcast(taken), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))  # at most toxic + clean rows
     so_far = F.sum(F.octet_length("text")).over(Window.partitionBy("toxic").orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).orderBy(order, "doc_id").select("text", "toxic").toArrow()
+    return rows.withColumn("so_far", so_far).where(F.col("so_far") <= most_bytes).select("doc_id", "text", "toxic")
+
+
+def sample(docs: DataFrame, labels: DataFrame, toxic: int = TOXIC, clean: int = CLEAN, most_bytes: int = SAMPLE_BYTES, longest: int = LONGEST) -> pa.Table:
+    """text and toxic of the labelled documents that are trained on, in their order."""
+    return sampled(docs, labels, toxic, clean, most_bytes, longest).orderBy(_order(), "doc_id").select("text", "toxic").toArrow()
+
+
+def _order() -> Column:
+    return F.xxhash64("doc_id")
 
 
 def _crc(column: str) -> Column:
@@ -301,15 +310,26 @@ def scored(docs: DataFrame, model: Model, carry: str | None = None) -> DataFrame
     return made if carry else made.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
-def trained(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sample(docs, labels)
-    text, toxic = rows["text"].combine_chunks() if rows.num_rows else pa.array([], pa.string()), rows["toxic"].to_numpy().astype(bool)
-    del rows
+def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The parts of the machine of all rows (text, toxic)."""
+    if held := [b for b in batches if b.num_rows]:
+        rows = pa.Table.from_batches(held)
+        held.clear()
+        text, toxic = rows["text"].combine_chunks(), rows["toxic"].to_numpy().astype(bool)
+        del rows
+        model = fit(text, toxic)
+        del text
+        parts = [model.table.tobytes(), model.offset, *model.logistic]
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in parts], ["weights", "offset", "slope", "level"])
     release()
-    model = fit(text, toxic)
-    del text
-    release()  # the driver has other work to do
-    return model
+
+
+def trained(docs: DataFrame, labels: DataFrame) -> Model:
+    """The machine of the sample; one task fits it, so neither the texts nor the work reach the driver."""
+    rows = bounded(sampled(docs, labels)).repartition(1).sortWithinPartitions(_order(), "doc_id")
+    for m in rows.select("text", "toxic").mapInArrow(learnt, "weights binary, offset double, slope double, level double").collect():
+        return Model(np.frombuffer(m.weights, np.float32), m.offset, (m.slope, m.level))
+    return Model()
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

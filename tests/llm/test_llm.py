@@ -716,6 +716,18 @@ def test_odd_tables_are_scored(spark, toxic, odd, empty):  # noqa: ANN001
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_the_machine_is_fitted_away_from_the_driver(toxic, monkeypatch):  # noqa: ANN001
+    docs, labels, model = toxic
+    rows = toxicity.sample(docs, labels)
+    text = rows["text"].combine_chunks()
+    here = toxicity.fit(text, rows["toxic"].to_numpy().astype(bool))
+    assert np.allclose(here.scores(text), model.scores(text), atol=1e-4)
+    for name in ("fit", "sample"):
+        monkeypatch.setattr(toxicity, name, None)  # of the driver's module only; workers import their own
+    again = toxicity.trained(docs, labels)
+    assert np.array_equal(again.table, model.table) and (again.offset, again.logistic) == (model.offset, model.logistic)
+
+
 def test_no_text_identifier_or_class_shuts_out_the_sample(spark, toxic):  # noqa: ANN001
     docs, labels, _ = toxic
     whole = toxicity.sample(docs, labels)
