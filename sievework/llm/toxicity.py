@@ -10,7 +10,8 @@ Training sees labelled rows with crc32(doc_id as text) mod 3 other than 1, at mo
 other documents, taken in the order of a hash of their identifiers: a bound that doesn't grow with the
 corpus. Texts over LONGEST bytes are left out, and of rows that share an identifier the one with the smallest
 text is taken; the next documents in the order take their places. Each class has a bound of
-SAMPLE_BYTES of text of its own, so neither one text nor one identifier nor the other class shuts documents out. Character runs that toxic documents hold far more often name the first toxic
+SAMPLE_BYTES of text of its own, so neither one text nor one identifier nor the other class shuts documents out.
+One task reads the sample and fits the machine; the driver only hands it on. Character runs that toxic documents hold far more often name the first toxic
 units; units of clean documents are the others, and the worst mistaken ones are added in rounds. The
 machine works on Nyström features of LANDMARKS units. As it is linear in subsequence counts, landmarks
 and weights fold into one table of subsequence weights, so that scoring a unit takes a few lookups a
